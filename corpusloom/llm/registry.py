@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpusloom.llm.mixing import OP8_SQL, op8_mixing
 from corpusloom.llm.simhash import op1_simhash
+from corpusloom.llm.tokens import op2_tokens
 
-QUERIES = {"op1_simhash": op1_simhash, "op8_mixing": op8_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_tokens": op2_tokens, "op8_mixing": op8_mixing}
 ORACLES = {"op8_mixing": OP8_SQL}

@@ -11,7 +11,7 @@ import numpy as np
 
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-LANES = 256
+LANES = 1024
 #: Steps between checkpoints; times LANES, the tokens between them.
 EVERY = 128
 

@@ -9,9 +9,10 @@ of the words and of the ids.
 
 Texts are dealt by ranges of doc_id once; the blocks of ids are written, counted
 over all blocks, and encoded where they lie. The tokenizer library encodes each
-white-space separated piece when it is first met; this equals encoding the whole
-text for tokenizers that split at white space and drop it, which is tested for
-the file used here (`split_safe=False` encodes whole texts instead).
+white-space separated piece when it is first met (letters and the marks after
+them apart, where its pre-tokenizer parts them too); this equals encoding the
+whole text for tokenizers that split at white space and drop it, which is tested
+for the file used here (`split_safe=False` encodes whole texts instead).
 
 Cases: a null or empty text gives the end id alone; null ids come first; rows
 with one id are ordered by a hash of the text and all written; an empty table
@@ -21,7 +22,9 @@ document longer than a block makes its block longer.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -37,19 +40,17 @@ from corpusloom.llm.rans import EVERY, LANES, Coder, quantized
 from corpusloom.session import durable, shared_dir, table
 
 #: Ids in a block, but for its last document.
-BLOCK = 1 << 17
+BLOCK = 1 << 19
 END_ID = 1
-#: Pieces kept by a worker: about 200 bytes each.
-CACHE = 400_000
+#: Pieces in one of the two generations that a worker keeps: about 200 bytes each.
+CACHE = 600_000
 PIECE = 64
-#: Characters that are split into pieces at once.
+#: Characters of the documents that are encoded in one go.
 CHARS = 1 << 20
 
 TEMP = "shard int, block int, doc_ids array<long>, doc_lens array<int>, ids binary"
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, doc_lens array<int>, words binary, checkpoints array<struct<step:int,offset:int,states:binary>>, words_crc32 long, ids_crc32 long"
 
-_CACHES: dict[str, dict[str, bytes]] = {}
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -57,6 +58,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Pieces(dict):
+    """Ids of white-space separated pieces, made when first met; `old` holds the generation before."""
+
+    def __init__(self, encoder: Encoder, old: dict[str, bytes]):
+        super().__init__()
+        self.encoder, self.old, self.kind, self.merged = encoder, old, encoder.kind, encoder.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.old.get(piece)
+        if made is None:
+            if not self.encoder.simple:
+                made = self.encoder.whole([piece])[0]
+            elif piece.isascii():
+                if piece.isalpha():
+                    made = array(self.kind, [t.id for t in self.merged(piece.lower())]).tobytes()
+                elif piece[:-1].isalpha() and piece[-1] in MARKS:
+                    made = self[piece[:-1]] + self[piece[-1]]
+            if made is None:
+                made = self._made(piece)
+        if len(piece) <= PIECE:
+            self[piece] = made
+        return made
+
+    def _made(self, piece: str) -> bytes:
+        if (m := SIMPLE.fullmatch(piece)) and "<|" not in piece:
+            letters, marks = m.groups()
+            if not marks:
+                return array(self.kind, [t.id for t in self.merged(letters.lower().encode().decode("latin-1").translate(BYTES))]).tobytes()
+            if letters:
+                return self[letters] + self[marks]
+        return self.encoder.whole([piece])[0]
+
+
+#: Letters that NFC leaves alone and that are lower-cased one by one, then ASCII marks but the apostrophe: the pre-tokenizer of SIMPLE_FOR parts them.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+MARKS = frozenset(".,;:!?)(|*%$#&")
+SIMPLE_FOR = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+#: Byte-level vocabularies write bytes that are not printable Latin-1 as the code points from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+
+
 class Encoder:
     """Texts to little-endian ids of `kind` (array type code H or I)."""
 
@@ -65,42 +111,49 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.split_safe = Tokenizer.from_file(path), split_safe
+        self.model = self.tokenizer.model
         self.vocab = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.kind = "H" if self.vocab <= 1 << 16 else "I"
-        self.cache = _CACHES.setdefault(path, {})
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.simple = spec["normalizer"] == SIMPLE_FOR["normalizer"] and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": SIMPLE_FOR["split"]} and not steps[1]["add_prefix_space"]
+        self.pieces = Pieces(self, {})
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.split_safe:
-            return self._encoded(texts)
-        out, at = [], 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= CHARS):
-                size, to = size + len(texts[to]), to + 1
-            split = [t.replace("\n", " ").split(" ") for t in texts[at:to]]
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            known = self.cache
-            new = list({w for ws in split for w in ws if w not in known})
-            made = dict(zip(new, self._encoded(new), strict=True))
-            known.update((w, b) for w, b in made.items() if len(w) <= PIECE)
-            if any(len(w) > PIECE for w in new):
-                known = {**made, **{w: self.cache[w] for ws in split for w in ws if w in self.cache}}
-            out += [b"".join(map(known.__getitem__, ws)) for ws in split]
-            at = to
+            return self.whole(texts)
+        out = []
+        for t in texts:
+            if len(self.pieces) > CACHE:
+                old, self.pieces = self.pieces, Pieces(self, {})
+                old.old = {}
+                self.pieces.old = old
+            if self.simple and "<|" not in t:
+                t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only
+            out.append(b"".join(map(self.pieces.__getitem__, t.replace("\n", " ").split(" "))))
         return out
 
 
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder_of(path: str, split_safe: bool) -> Encoder:
+    """The worker's own; a worker that is used again keeps its pieces."""
+    if (path, split_safe) not in _ENCODERS:
+        _ENCODERS[path, split_safe] = Encoder(path, split_safe)
+    return _ENCODERS[path, split_safe]
+
+
 def _tokenized(path: str, end_id: int, split_safe: bool, block: int):
     """Sorted rows (doc_id, text) of a shard to blocks of zstd-compressed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = Encoder(path, split_safe)
+        encoder = encoder_of(path, split_safe)
         end, width = array(encoder.kind, [end_id]).tobytes(), array(encoder.kind).itemsize
         pack = zstandard.ZstdCompressor(level=1)
         shard, number, docs, lens, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from corpusloom.llm.decontaminate import OP10_SQL, op10_decontaminate
 from corpusloom.llm.mixing import OP8_SQL, op8_mixing
+from corpusloom.llm.pii import op9_pii
 from corpusloom.llm.secrets import op7_secrets
 from corpusloom.llm.simhash import op1_simhash
 from corpusloom.llm.tokens import op2_tokens
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_tokens": op2_tokens, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op10_decontaminate": op10_decontaminate}
+QUERIES = {"op1_simhash": op1_simhash, "op2_tokens": op2_tokens, "op7_secrets": op7_secrets, "op8_mixing": op8_mixing, "op9_pii": op9_pii, "op10_decontaminate": op10_decontaminate}
 ORACLES = {"op8_mixing": OP8_SQL, "op10_decontaminate": OP10_SQL}

@@ -1,0 +1,152 @@
+"""Functions without a built-in form, as Arrow-batched pandas UDFs."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.functions import text as t
+from corpusloom.functions.values import DROPPABLE_FINALS, INITIAL_PAIRS, LATIN_CONFUSIONS, NOISE_WEIGHTS, VOWEL_PAIRS
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+@F.pandas_udf(T.StringType())
+def casefold(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else x.casefold())
+
+
+@F.pandas_udf(T.DecimalType(20, 0))
+def blake64(s: pd.Series) -> pd.Series:
+    """BLAKE2b of 8 bytes, big-endian and unsigned."""
+    from decimal import Decimal
+
+    return s.map(lambda x: None if x is None else Decimal(int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big")))
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC; ASCII rows stay in the JVM's value and are not changed."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+
+
+def normalize(text: Column) -> Column:
+    return t.clean(nfkc(text))
+
+
+def side_key(text: Column) -> Column:
+    """The key of one side of a pair; keeps punctuation."""
+    return t.h60(casefold(normalize(text)))
+
+
+def segment(text: str | None, scores: dict[str, float], unknown: float = -10.0) -> list[str]:
+    """The pieces of the highest total score; ties keep the earlier start of the last piece."""
+    words = re.sub(r"[ \t\n\x0b\f\r]+", " ", unicodedata.normalize("NFKC", text or "")).strip()
+    if not words:
+        return []
+    s = "▁" + words.replace(" ", "▁")
+    longest = max(map(len, scores), default=1)
+    best, back = [0.0] + [float("-inf")] * len(s), [0] * (len(s) + 1)
+    for end in range(1, len(s) + 1):
+        for start in range(max(0, end - longest), end):
+            own = scores.get(s[start:end], unknown if end - start == 1 else None)
+            if own is not None and best[start] + own > best[end]:
+                best[end], back[end] = best[start] + own, start
+    out, end = [], len(s)
+    while end:
+        out.append(s[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def segmenter(scores: dict[str, float]):
+    """A column function that segments into the pieces of a vocabulary."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: segment(x, scores))
+
+    return run
+
+
+def _paired(i: int, pairs) -> int | None:
+    return next((b if i == a else a for a, b in pairs if i in (a, b)), None)
+
+
+def _hangul(text: str, r: random.Random) -> str:
+    at = [i for i, c in enumerate(text) if 0xAC00 <= ord(c) <= 0xD7A3]
+    if not at:
+        return text
+    i = r.choice(at)
+    code = ord(text[i]) - 0xAC00
+    first, vowel, last = code // 588, code % 588 // 28, code % 28
+    ways = [(first, v, last) for v in [_paired(vowel, VOWEL_PAIRS)] if v is not None]
+    ways += [(f, vowel, last) for f in [_paired(first, INITIAL_PAIRS)] if f is not None]
+    ways += [(first, vowel, 0)] if last in DROPPABLE_FINALS else []
+    if not ways:
+        return text
+    f, v, e = r.choice(ways)
+    return text[:i] + chr(0xAC00 + (f * 21 + v) * 28 + e) + text[i + 1 :]
+
+
+def _latin(text: str, r: random.Random) -> str:
+    there = [(m.start(), a, b) for a, b in LATIN_CONFUSIONS for m in re.finditer(re.escape(a), text)]
+    if not there:
+        return text
+    i, a, b = r.choice(there)
+    return text[:i] + b + text[i + len(a) :]
+
+
+def _fuse(text: str, r: random.Random) -> str:
+    at = [i for i, c in enumerate(text) if c == " "]
+    if not at:
+        return text
+    gone = {i for i in at if r.random() < 0.3} or {r.choice(at)}
+    return "".join(c for i, c in enumerate(text) if i not in gone)
+
+
+def _split(text: str, r: random.Random) -> str:
+    at = [i for i in range(2, len(text) - 1) if text[i - 2 : i + 2].isalpha()]
+    return text if not at else (lambda i: f"{text[:i]} {text[i:]}")(r.choice(at))
+
+
+def _hyphen(text: str, r: random.Random) -> str:
+    at = [m for m in re.finditer(r"(?<![^ ])[^\W\d_]{8,}(?![^ ])", text)]
+    if not at:
+        return text
+    m = r.choice(at)
+    i = m.start() + r.randint(3, m.end() - m.start() - 3)
+    return f"{text[:i]}- {text[i:]}"
+
+
+NOISES = {"latin": _latin, "hangul": _hangul, "fuse": _fuse, "split": _split, "hyphen": _hyphen, "punct": lambda x, r: x[:-1] if x[-1:] in tuple(".!?。") else x, "upper": lambda x, r: x.upper()}
+
+
+def noised(text: str, lang: str, seed: str, probability: float = 1.0, most: int = 2) -> str:
+    """One to `most` noises with that probability, from a generator seeded by this row alone."""
+    r = random.Random(seed)
+    if r.random() >= probability:
+        return text
+    weights = NOISE_WEIGHTS["ko" if lang == "ko" else "en"]
+    for name in r.choices(list(weights), list(weights.values()), k=r.randint(1, most)):
+        text = NOISES[name](text, r)
+    return text
+
+
+def add_noise(text: Column, lang: Column, key: Column, seed: int = 13, probability: float = 1.0) -> Column:
+    """Noise that depends on the row's key, so any partitioning gives the same."""
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series, langs: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else noised(x, g, f"{seed}:{k}", probability) for x, g, k in zip(s, langs, keys, strict=True)], dtype=object)
+
+    return run(text, lang, key.cast("string"))

@@ -1,6 +1,467 @@
-"""Named queries over the driver's tables and their DuckDB equivalents."""
+"""Named queries over the driver's tables and over small fixed rows, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as t
+from corpusloom.functions import udfs
+from corpusloom.functions import values as v
+from corpusloom.operators import arrays, layout, metrics, pairs, routes
+from corpusloom.session import table
+from corpusloom.sources import readers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+class Rows:
+    """Small fixed rows: a DataFrame here, VALUES in the oracle."""
+
+    def __init__(self, schema: str, *rows: tuple):
+        self.schema, self.rows = schema, rows
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.rows), self.schema)
+
+    def sql(self, name: str) -> str:
+        def lit(x):
+            if isinstance(x, (list, tuple)):
+                return "[" + ", ".join(map(lit, x)) + "]"
+            return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else repr(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        return f"{name}({', '.join(names)}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in self.rows) + ")"
+
+
+SPACE = r"[ \t\n\x0B\f\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{85}]+"
+CLEAN = r"trim(regexp_replace(regexp_replace(coalesce({0}, ''), '[\x00-\x08\x0B-\x1F\x7F\x{{200B}}-\x{{200F}}\x{{2028}}\x{{2029}}\x{{FEFF}}]', '', 'g'), '" + SPACE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'))"
+SQUASH = r"regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+H60 = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+RANK = "coalesce(try_cast(regexp_replace(source, '[^0-9]', '', 'g') AS INT), 0)"
+
+
+def _rank():
+    return F.coalesce(F.expr("try_cast(regexp_replace(source, '[^0-9]', '') as int)"), F.lit(0))
+
+
+@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) BETWEEN 20 AND 80")
+def scan_filter_lines(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(F.length("line").between(20, 80))
+
+
+@query(f"SELECT doc_id, {CLEAN.format('text')} AS clean FROM documents")
+def normalize_ws(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.clean(F.col("text")).alias("clean"))
+
+
+@query()
+def normalize_nfkc(spark, d):
+    more = spark.createDataFrame([(-1, "Ｈｅｌｌｏ　 wörld​"), (-2, "a\rb\x07 ①"), (-3, None)], "doc_id long, text string")
+    rows = table(spark, d, "documents").select("doc_id", "text").unionByName(more)
+    return rows.select("doc_id", udfs.normalize(F.col("text")).alias("normal"), udfs.blake64("text").alias("h64"))
+
+
+GLUED = Rows("id int, text string", (1, "파일 크기Name"), (2, "열기.Comment"), (3, "Open Name"), (4, "닫기)GenericName"), (5, "NameName"), (6, "끝?Keywords"), (7, ""))
+
+
+@query(f"WITH {GLUED.sql('r')} SELECT id, regexp_replace(text, '([가-힣)\\].!?])(Comment|GenericName|Name|Keywords)$', '\\1') AS stripped FROM r")
+def strip_artifacts(spark, d):
+    return GLUED.df(spark).select("id", t.strip_artifacts(F.col("text")).alias("stripped"))
+
+
+@query(f"SELECT doc_id, {SQUASH.format('text')} || chr(9) || {SQUASH.format('lang')} AS key FROM documents")
+def dedup_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.dedup_key(F.col("text"), F.col("lang")).alias("key"))
+
+
+@query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY {SQUASH.format('text')} ORDER BY {RANK}, doc_id) AS n FROM documents) WHERE n = 1")
+def dedup_keep_first(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", t.squash(F.col("text")).alias("key"))
+    return pairs.keep_first(rows, "key", _rank().alias("rank"), F.col("doc_id")).where("is_first").select("doc_id", "source")
+
+
+@query(f"SELECT lang, count(*) AS n, count(DISTINCT {SQUASH.format('text')}) AS distinct_n FROM documents GROUP BY lang")
+def dedup_stats(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(t.squash(F.col("text"))).alias("distinct_n"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '\p{L}')) AS letters, coalesce(len(regexp_extract_all(text, '[A-Za-z]'))::DOUBLE / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 0) AS latin_share FROM documents")
+def script_profile(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", t.profile(F.col("text")).alias("p"))
+    return rows.select("doc_id", F.col("p.latin").cast("long").alias("latin"), F.col("p.letters").cast("long").alias("letters"), "p.latin_share")
+
+
+SCRIPTS = Rows("id int, text string, expected string", (1, "안녕하세요", "ko"), (2, "こんにちは世界", "ja"), (3, "你好世界", "zh"), (4, "Hello", "en"), (5, "123 !?", "xx"), (6, None, "xx"), (7, "東京", "zh"), (8, "The quick brown fox jumps 안", "en"), (9, "日本のabc", "ja"))
+
+
+@query(f"WITH {SCRIPTS.sql('r')} SELECT id, expected AS lang FROM r")
+def script_detect(spark, d):
+    return SCRIPTS.df(spark).select("id", t.detect_script(F.col("text"), F.lit("xx")).alias("lang"))
+
+
+PAIRS = Rows(
+    "id int, en string, ko string, expected string",
+    (1, "Open the file", "파일을 여십시오", None), (2, "", "가", "empty"), (3, "OK", "OK", "identical"), (4, "See www.x.org now", "지금 보기", "url"), (5, "A &kde; b", "가 나", "markup"),
+    (6, "Retrieved 2018", "검색", "boilerplate"), (7, "This is a very very long sentence that goes on and on for ever and ever, truly so", "짧은 문장입니다 열두자", "ratio"), (8, "1 2 3 4", "가나다", "not_text"),
+    (9, "Hello there", "Bonjour", "ko_script"), (10, "Hola señor ñ 안녕", "안녕하세요", "en_script"), (11, "Start Konqueror now", "Konqueror를 켭니다", None), (12, "x" * 401, "가", "too_long"), (13, "ab cd ef gh ij", "가나다라마바사아자차카타파하가나다라마바사아자차", "ratio"),
+)
+
+
+@query(f"WITH {PAIRS.sql('r')} SELECT id, expected AS reason FROM r")
+def check_pair_reasons(spark, d):
+    return PAIRS.df(spark).select("id", pairs.check_pair(F.col("en"), F.col("ko")).alias("reason"))
+
+
+def _turns(spark, d):
+    rows = table(spark, d, "conversations")
+    a, b = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("en")), rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ko"))
+    return a.join(b, ["conv_id", "turn"])
+
+
+TURNS = "t AS (SELECT a.conv_id, a.turn, a.text AS en, b.text AS ko FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn WHERE a.role = 'user' AND b.role = 'assistant')"
+
+
+@query(f"WITH {TURNS}, w AS (SELECT conv_id, turn, en, unnest(regexp_extract_all(ko, '[A-Za-z]+')) AS w FROM t), c AS (SELECT conv_id, turn, sum(CASE WHEN list_contains(regexp_extract_all(lower(en), '[a-z]+'), lower(w)) THEN length(w) ELSE 0 END)::BIGINT AS n FROM w GROUP BY ALL) SELECT conv_id, turn, coalesce(n, 0) AS copied FROM (SELECT DISTINCT conv_id, turn FROM t) LEFT JOIN c USING (conv_id, turn)")
+def copied_words(spark, d):
+    ascii_en = F.translate("en", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _turns(spark, d).select("conv_id", "turn", pairs.copied_length(ascii_en, F.col("ko")).cast("long").alias("copied")).distinct()
+
+
+@query(f"WITH {TURNS} SELECT conv_id, turn, length(en)::INT AS en_chars, length(ko)::INT AS ko_chars FROM t")
+def pair_zip(spark, d):
+    return _turns(spark, d).select("conv_id", "turn", F.length("en").alias("en_chars"), F.length("ko").alias("ko_chars"))
+
+
+@query(f"WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT doc_id, source FROM documents JOIN n USING (source) WHERE least(1.0::DOUBLE, 20.0::DOUBLE / n) >= 1 OR {H60.format(chr(39) + '7:' + chr(39) + ' || text || chr(9) || lang')} % 1000000 < least(1.0::DOUBLE, 20.0::DOUBLE / n) * 1000000")
+def hash_sample(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", "lang")
+    n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    rate = pairs.sampling_rate(F.lit(20.0), F.col("n"))
+    return docs.join(n, "source").where(pairs.keep_by_rate(F.concat("text", F.lit("\t"), "lang"), rate, 7)).select("doc_id", "source")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 5")
+def first_n_per_source(spark, d):
+    return pairs.first_n(table(spark, d, "documents").select("doc_id", "source"), "source", 5, F.col("doc_id"))
+
+
+HELD = f"held AS (SELECT DISTINCT line FROM (SELECT {CLEAN.format('l')} AS line FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM benchmark)) WHERE line <> '')"
+HIT = f"hit AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, {CLEAN.format('l')} AS line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents)) SEMI JOIN held USING (line))"
+
+
+@query(f"WITH {HELD}, {HIT} SELECT doc_id, doc_id IN (SELECT doc_id FROM hit) AS in_eval_set FROM documents")
+def decontaminate_lines(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l")).select("doc_id", t.clean(F.col("l")).alias("line"))
+    held = table(spark, d, "benchmark").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l")).select(t.clean(F.col("l")).alias("line")).where("line <> ''")
+    return pairs.held_out_flags(docs, {"line": held}).groupBy("doc_id").agg(F.bool_or("in_eval_set").alias("in_eval_set"))
+
+
+OUTCOME = f"""{HELD}, {HIT}, r AS (
+  SELECT doc_id, source, {RANK} AS rank, {CLEAN.format('text')} AS c, doc_id IN (SELECT doc_id FROM hit) AS held FROM documents),
+ruled AS (SELECT *, CASE WHEN length(c) < 1 THEN 'empty' WHEN length(c) > 20000 THEN 'too_long'
+  WHEN coalesce(len(regexp_extract_all(c, '\\p{{L}}'))::DOUBLE / nullif(len(regexp_extract_all(c, '[^ ]')), 0), 0) < 0.3 THEN 'not_text' WHEN held THEN 'in_eval_set' END AS rule FROM r),
+o AS (SELECT doc_id, source, coalesce(rule, CASE WHEN row_number() OVER (PARTITION BY rule IS NULL, {SQUASH.format('c')} ORDER BY rank, source, doc_id) > 1 THEN 'duplicate' ELSE 'kept' END) AS outcome FROM ruled)"""
+
+
+def _outcomes(spark, d):
+    return pairs.outcomes(table(spark, d, "documents").select("doc_id", "text", "source"), table(spark, d, "benchmark"))
+
+
+@query(f"WITH {OUTCOME} SELECT source, outcome, count(*) AS n FROM o GROUP BY ALL")
+def outcome_report(spark, d):
+    return pairs.outcome_report(_outcomes(spark, d))
+
+
+@query(f"WITH {OUTCOME} SELECT source, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in pairs.OUTCOMES) + " FROM o GROUP BY source")
+def outcome_pivot(spark, d):
+    return pairs.outcome_pivot(_outcomes(spark, d))
+
+
+@query(f"WITH {OUTCOME} SELECT source, count(*) AS n, (count(*) FILTER (outcome = 'kept'))::BIGINT AS kept FROM o GROUP BY ROLLUP (source)")
+def outcome_totals(spark, d):
+    return pairs.outcome_totals(_outcomes(spark, d))
+
+
+RELEASES = Rows("corpus string, version string, pairs long", ("TED2020", "v1", 390_000), ("KDE4", "v2", 80_000), ("WikiMatrix", "v1", 300_000), ("Tatoeba", "v9", 10), ("XLEnt", "v1", 0))
+CATALOGUE = Rows("rank int, name string, domain string, cap int, core boolean", *[(i, n, m, c, "core" in p) for i, (n, m, c, p) in enumerate(v.CORPORA)])
+
+
+@query(f"WITH {CATALOGUE.sql('c')}, {RELEASES.sql('r')} SELECT rank, name, CASE WHEN corpus IS NULL THEN 'not available' ELSE 'available' END AS status, CASE WHEN corpus IS NULL THEN NULL WHEN cap IS NULL OR pairs = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, cap::DOUBLE / pairs) END AS rate FROM c LEFT JOIN r ON name = corpus WHERE core AND name NOT IN ('Tatoeba')")
+def catalogue_left_join(spark, d):
+    rows = spark.createDataFrame([(i, n, c, list(p)) for i, (n, _, c, p) in enumerate(v.CORPORA)], "rank int, name string, cap int, profiles array<string>")
+    rows = rows.where(F.array_contains("profiles", "core") & ~F.col("name").isin(*v.EXCLUDED)).join(RELEASES.df(spark), F.col("name") == F.col("corpus"), "left")
+    there = F.col("corpus").isNotNull()
+    return rows.select("rank", "name", F.when(there, "available").otherwise("not available").alias("status"), F.when(there, pairs.sampling_rate(F.col("cap"), F.col("pairs"))).alias("rate"))
+
+
+@query("SELECT doc_id AS id, source AS src, length(text)::INT AS n FROM documents UNION ALL SELECT item_id, 'benchmark', length(text)::INT FROM benchmark")
+def union_all_tagged(spark, d):
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.length("text").alias("n"))
+    return a.unionByName(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("src"), F.length("text").alias("n")))
+
+
+@query("SELECT unnest(['src1', 'src2', 'src99', 'nowhere']) AS source EXCEPT SELECT source FROM documents")
+def except_sources(spark, d):
+    asked = spark.createDataFrame([(s,) for s in ("src1", "src2", "src99", "nowhere")], "source string")
+    return asked.subtract(table(spark, d, "documents").select("source"))
+
+
+@query(f"WITH n AS (SELECT count(*) AS n FROM documents), u AS (SELECT doc_id, {H60.format(chr(39) + 'split:5:' + chr(39) + ' || text')} % 1000000 / 1000000.0::DOUBLE AS u FROM documents) SELECT doc_id, CASE WHEN u < least(0.5::DOUBLE, 100.0::DOUBLE / n) THEN 'dev' WHEN u < least(0.5::DOUBLE, 100.0::DOUBLE / n) + least(0.5::DOUBLE, 50.0::DOUBLE / n) THEN 'test' ELSE 'train' END AS split FROM u, n")
+def hash_split(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    return docs.crossJoin(F.broadcast(n)).select("doc_id", pairs.split_of(F.col("text"), F.col("n"), 100, 50, 5).alias("split"))  # n is one row
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {H60.format(chr(39) + 'order:5:' + chr(39) + ' || text')}, doc_id LIMIT 50")
+def hash_order_topk(spark, d):
+    return table(spark, d, "documents").orderBy(t.h60(F.concat(F.lit("order:5:"), "text")), "doc_id").limit(50).select("doc_id")
+
+
+@query("WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 43200000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), i AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island FROM g) SELECT user_id, island, count(*) AS n FROM i GROUP BY ALL")
+def event_islands(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    gap = F.col("us") - F.lag("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    return layout.islands(rows, ["user_id"], [F.col("us"), F.col("event_id")], gap > 43_200_000_000).groupBy("user_id", "island").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _box(x, y, w, h):
+    return [float(a) for a in (x, y, x + w, y, x + w, y + h, x, y + h)]
+
+
+QUADS = Rows(
+    "page_id int, line_no int, quad array<double>, para int, pos int",
+    (1, 0, _box(0, 0, 100, 10), 1, 1), (1, 1, _box(0, 12, 90, 10), 1, 3), (1, 2, _box(2, 60, 95, 10), 2, 4), (1, 3, _box(0, 72, 95, 30), 3, 6), (1, 4, _box(300, 0, 80, 10), 4, 2), (1, 5, _box(300, 61, 80, 10), 5, 5),
+    (2, 0, _box(0, 0, 50, 0), 1, 1), (2, 1, _box(0, 5, 50, 10), 2, 2),
+)
+
+
+@query(f"WITH {QUADS.sql('q')} SELECT page_id, line_no, para::BIGINT AS para FROM q")
+def paragraph_islands(spark, d):
+    return layout.paragraphs(QUADS.df(spark).drop("para", "pos")).select("page_id", "line_no", "para")
+
+
+@query(f"WITH {QUADS.sql('q')} SELECT page_id, line_no, pos FROM q")
+def reading_order(spark, d):
+    return layout.reading_order(QUADS.df(spark).drop("para", "pos")).select("page_id", "line_no", "pos")
+
+
+@query(f"WITH {QUADS.sql('q')} SELECT page_id, line_no, (quad[3] - quad[1])::DOUBLE AS width, (quad[8] - quad[2])::DOUBLE AS height, 0.0::DOUBLE AS angle, quad[1]::DOUBLE AS \"left\", quad[2]::DOUBLE AS top FROM q")
+def quad_metrics(spark, d):
+    m = layout.quad_metrics(F.col("quad"))
+    return QUADS.df(spark).select("page_id", "line_no", *[m[k].alias(k) for k in ("width", "height", "angle", "left", "top")])
+
+
+@query("SELECT o_orderpriority, o_totalprice AS upper_median FROM (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE k = n // 2 + 1")
+def upper_median(spark, d):
+    """At scale: the rank of the median by a histogram of counts would be next; here groups are counted and ranked in a distributed sort."""
+    rows = table(spark, d, "orders").select("o_orderpriority", "o_totalprice").groupBy("o_orderpriority", "o_totalprice").count()
+    w = Window.partitionBy("o_orderpriority")
+    ranked = rows.withColumn("upto", F.sum("count").over(w.orderBy("o_totalprice"))).withColumn("n", F.sum("count").over(w))
+    return ranked.where("upto > n div 2").groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("upper_median"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS page FROM conversations GROUP BY conv_id")
+def ordered_concat(spark, d):
+    every = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(layout.page_text(F.transform(every, lambda x: x["text"])).alias("page"))
+
+
+LINES = Rows("id int, lines array<string>, expected string", (1, ["Hello", "world"], "Hello world"), (2, ["日本", "語です"], "日本語です"), (3, ["日本", "abc"], "日本 abc"), (4, ["안녕", "하세요"], "안녕하세요"), (5, [" a", ""], "a"), (6, ["。", "次"], "。次"))
+
+
+@query(f"WITH {LINES.sql('l')} SELECT id, expected AS joined FROM l")
+def cjk_concat(spark, d):
+    return LINES.df(spark).select("id", layout.join_lines(F.col("lines")).alias("joined"))
+
+
+@query()
+def redistribute_lines(spark, d):
+    rows = spark.createDataFrame([(1, "the quick brown fox", [10, 10]), (2, "abcdef", [3, 3]), (3, "", [1, 2]), (4, "one two three four", [1, 30, 5])], "id int, text string, lengths array<int>")
+    return rows.select("id", layout.redistribute(F.col("text"), F.col("lengths")).alias("lines"), layout.redistribute(F.col("text"), F.col("lengths"), strict=True).alias("strict"))
+
+
+@query()
+def sentence_chunks(spark, d):
+    cost = lambda s: F.size(F.split(s, " "))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(layout.chunks(t.sentences(F.col("text")), cost)).alias("chunk", "text"))
+
+
+@query("WITH b AS (SELECT source, doc_id, n_chars, (row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1) // 6 AS batch FROM documents) SELECT source, batch, count(*) AS n, max(n_chars) AS most FROM b GROUP BY ALL")
+def length_batches(spark, d):
+    rows = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    k = F.row_number().over(Window.partitionBy("source").orderBy("n_chars", "doc_id"))
+    return rows.withColumn("batch", F.floor((k - 1) / 6).cast("long")).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("most"))
+
+
+@query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS argmax FROM embeddings")
+def argmax_first(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", arrays.argmax_first(F.col("embedding")).alias("argmax"))
+
+
+CTC = Rows("id int, labels array<int>, maxima array<double>, text string, confidence double", (1, [1, 1, 0, 1, 2], [0.9, 0.8, 0.7, 0.5, 0.1], "aab", 0.5), (2, [0, 0], [0.9, 0.9], "", 0.0), (3, [3, 0, 4, 4, 1], [1.0, 0.0, 0.5, 0.4, 0.6], "c a", 0.7))
+
+
+@query(f"WITH {CTC.sql('c')} SELECT id, text, confidence::DOUBLE AS confidence FROM c")
+def ctc_collapse(spark, d):
+    glyphs = F.array(*map(F.lit, "abc"))
+    return CTC.df(spark).select("id", arrays.ctc_text(F.col("labels"), glyphs).alias("text"), arrays.ctc_confidence(F.col("labels"), F.col("maxima")).alias("confidence"))
+
+
+VOCAB = Rows("line_no long, value string", (0, "<unk>\t1"), (1, "the\t5"), (2, "of\t6"), (3, "bad"), (4, "the\t7"), (5, "x\ty\t8"), (6, "and\tnine"), (7, "de\t9"))
+LOADED = "voc AS (SELECT regexp_extract(value, '^(.+)\\t([^\\t]*)$', 1) AS token, arg_max(try_cast(regexp_extract(value, '^(.+)\\t([^\\t]*)$', 2) AS INT), line_no) AS id FROM l WHERE try_cast(regexp_extract(value, '^(.+)\\t([^\\t]*)$', 2) AS INT) IS NOT NULL GROUP BY 1)"
+
+
+@query(f"WITH {VOCAB.sql('l')}, {LOADED} SELECT token, id FROM voc")
+def vocab_load(spark, d):
+    return readers.vocab(VOCAB.df(spark))
+
+
+@query(f"WITH {VOCAB.sql('l')}, {LOADED}, w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS token FROM documents) SELECT doc_id, coalesce(id, 1) AS id, count(*) AS n FROM w LEFT JOIN voc USING (token) GROUP BY ALL")
+def vocab_encode(spark, d):
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("token"))
+    ids = words.join(readers.vocab(VOCAB.df(spark)), "token", "left").select("doc_id", F.coalesce("id", F.lit(1)).alias("id"))
+    return ids.groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+IDS = Rows("at int, id int, token string", (0, 7, "the"), (1, 99, ""), (2, 6, "of"), (3, None, ""), (4, 1, "<unk>"))
+
+
+@query(f"WITH {IDS.sql('i')} SELECT at_ AS at, token FROM (SELECT \"at\" AS at_, token FROM i)".replace("i(at,", 'i("at",').replace("AS at,", 'AS "at",'))
+def vocab_decode(spark, d):
+    return IDS.df(spark).drop("token").join(readers.vocab(VOCAB.df(spark)), "id", "left").select("at", F.coalesce("token", F.lit("")).alias("token"))
+
+
+@query()
+def viterbi_pieces(spark, d):
+    run = udfs.segmenter({"▁hel": -1.0, "lo": -1.5, "▁hello": -2.0, "▁": -3.0, "wor": -2.0, "ld": -2.0, "▁wor": -1.0})
+    rows = spark.createDataFrame([(1, "hello world"), (2, "　ｈｅｌｌｏ"), (3, "  "), (4, None), (5, "help")], "id int, text string")
+    return rows.select("id", run("text").alias("pieces")).withColumn("back", t.pieces_to_text(F.col("pieces")))
+
+
+HAVE = Rows("src string, tgt string", ("en", "ja"), ("ja", "en"), ("en", "zh"), ("zh", "en"))
+
+
+@query(f"WITH {HAVE.sql('p')} SELECT src, tgt, 'direct' AS route FROM p UNION ALL SELECT a.src, b.tgt, 'pivot' FROM p a JOIN p b ON a.tgt = b.src AND a.tgt = 'en' AND a.src <> b.tgt WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.src = a.src AND p.tgt = b.tgt)")
+def language_routes(spark, d):
+    return routes.routes(HAVE.df(spark))
+
+
+@query("WITH l AS (SELECT unnest(['en', 'ja', 'zh']) AS c) SELECT a.c AS src, b.c AS tgt, a.c || '-' || b.c AS pair FROM l a, l b WHERE a.c <> b.c")
+def pair_matrix(spark, d):
+    return routes.directed_pairs(routes.languages(spark).where("user_facing"))
+
+
+def _present(spark):
+    need = routes.required_files(routes.languages(spark))
+    return need.where("src = 'en' and tgt = 'ja' or src = 'ja' and tgt = 'en' and not endswith(path, 'config.json')").select("path")
+
+
+FILES = "l AS (SELECT unnest(['en', 'ja', 'zh']) AS c), f AS (SELECT a.c AS src, b.c AS tgt, a.c || '-' || b.c AS pair, unnest(['encoder.onnx', 'decoder.onnx', 'source.spm.tsv', 'vocab.tsv', 'config.json']) AS f FROM l a, l b WHERE a.c <> b.c), r AS (SELECT *, pair = 'en-ja' OR pair = 'ja-en' AND f <> 'config.json' AS there FROM f)"
+
+
+@query(f"WITH {FILES} SELECT pair, 'mt/' || pair || '/' || f AS path FROM r WHERE NOT there AND (src = 'en' OR tgt = 'en')")
+def missing_files(spark, d):
+    return routes.missing_files(routes.required_files(routes.languages(spark)), _present(spark))
+
+
+@query(f"WITH {FILES} SELECT pair, bool_and(there) AS available FROM r GROUP BY pair")
+def available_pairs(spark, d):
+    return routes.available_pairs(routes.required_files(routes.languages(spark)), _present(spark))
+
+
+CODES = Rows("code string, expected string", ("en", "en"), (" JP ", "ja"), ("zh-Hans", "zh"), ("en_US", "en"), ("KO-kr", "ko"), ("xx", None), (None, None), ("_en", None), ("zho", "zh"))
+
+
+@query(f"WITH {CODES.sql('c')} SELECT code, expected AS lang FROM c")
+def lang_from_code(spark, d):
+    return CODES.df(spark).select("code", t.lang_from_code(F.col("code")).alias("lang"))
+
+
+@query("SELECT unnest(['ja', 'zh']) AS code")
+def lang_search(spark, d):
+    q = F.lit("ese")
+    langs = routes.languages(spark).where("user_facing")
+    return langs.where(F.contains(F.lower("english_name"), q) | F.contains(F.lower("native_name"), q) | F.contains(F.lower("code"), q)).select("code")
+
+
+HISTORY = Rows(
+    "id long, kind string, source_lang string, target_lang string, source_text string, translated_text string, image_path string, created_at long",
+    (1, "image", "en", "zh", "first line\nsecond", "x", None, 1000), (2, "PDF", "xx", None, None, "y", "/a.png", 3000), (3, "nope", "ja", "en", "  " + "long " * 20, None, None, 3000), (4, None, "ko", "ja", "a", "b", "/b.png", 2000),
+)
+
+
+@query(f"WITH {HISTORY.sql('h')} SELECT id, CASE WHEN upper(kind) IN ('IMAGE', 'CAMERA', 'PDF', 'TEXT') THEN upper(kind) ELSE 'IMAGE' END AS kind, CASE WHEN source_lang IN ('en', 'ko', 'ja', 'zh') THEN source_lang ELSE 'en' END AS source_lang, CASE WHEN target_lang IN ('en', 'ko', 'ja', 'zh') THEN target_lang ELSE 'zh' END AS target_lang, coalesce(source_text, '') AS source_text, created_at::BIGINT AS created_at FROM h ORDER BY created_at DESC, id DESC LIMIT 3")
+def history_recent(spark, d):
+    return routes.recent(routes.decoded_history(HISTORY.df(spark)), 3).select("id", "kind", "source_lang", "target_lang", "source_text", "created_at")
+
+
+@query(f"WITH {HISTORY.sql('h')} SELECT id, source_text, image_path FROM h WHERE id = 4 LIMIT 1")
+def history_by_id(spark, d):
+    return HISTORY.df(spark).where("id = 4").limit(1).select("id", "source_text", "image_path")
+
+
+@query(f"WITH {HISTORY.sql('h')} SELECT count(*) AS n, count(image_path) AS with_image FROM h")
+def history_count(spark, d):
+    return HISTORY.df(spark).agg(F.count(F.lit(1)).alias("n"), F.count("image_path").alias("with_image"))
+
+
+@query(f"WITH {HISTORY.sql('h')}, s AS (SELECT id, trim(string_split(trim(coalesce(source_text, '')), chr(10))[1]) AS s FROM h) SELECT id, CASE WHEN length(s) > 60 THEN s[:60] || '…' ELSE s END AS title FROM s")
+def history_title(spark, d):
+    return HISTORY.df(spark).select("id", t.title(F.col("source_text")).alias("title"))
+
+
+CONFIGS = Rows("id int, json string, max_length int, unk int", (1, '{"max_length": 4}', 8, 1), (2, "{}", 256, 1), (3, '{"max_length": 9000, "unk_token_id": 3}', 512, 3))
+
+
+@query(f"WITH {CONFIGS.sql('c')} SELECT id, max_length, unk FROM c")
+def json_defaults(spark, d):
+    c = readers.config(F.col("json"))
+    return CONFIGS.df(spark).select("id", c["max_length"].alias("max_length"), c["unk"].alias("unk"))
+
+
+@query(r"SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0A-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '" + '"' + r"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
+def xml_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", t.xml_escape(F.col("html")).alias("escaped"))
+
+
+@query()
+def noise_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", udfs.add_noise(F.col("text"), F.col("lang"), F.col("doc_id"), probability=0.3).alias("noisy"))
+
+
+@query("SELECT avg(CASE WHEN quality IS NOT DISTINCT FROM 1 - toxic THEN 1.0 ELSE 0.0 END)::DOUBLE AS rate FROM labels")
+def agreement_rate(spark, d):
+    return table(spark, d, "labels").agg(metrics.agreement_rate(F.col("quality"), 1 - F.col("toxic")).alias("rate"))
+
+
+@query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1), 9) AS mean FROM lineitem GROUP BY 1")
+def weighted_mean(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(metrics.weighted_mean(F.col("l_discount"), F.col("l_quantity")), 9).alias("mean"))
+
+
+@query("SELECT source, " + ", ".join(f"max(n) FILTER (lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source")
+def score_pivot(spark, d):
+    rows = table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.score_pivot(rows, "source", "lang", "n", ["de", "en", "es", "fr"])
+
+
+@query()
+def corpus_scores(spark, d):
+    rows = _turns(spark, d).select((F.col("conv_id") % 3).alias("fold"), F.col("ko").alias("hyp"), F.col("en").alias("ref"))
+    return metrics.corpus_scores(rows, ["fold"])

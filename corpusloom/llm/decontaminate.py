@@ -28,8 +28,6 @@ from corpusloom.session import durable, table
 WINDOW = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words before A-Z are lower-cased; there are as many after.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of a benchmark-side table (about 200 bytes each) and keys of documents (24 bytes) that are broadcast; beyond, joins shuffle.
 BROADCAST_TERMS = 200_000
 BROADCAST_KEYS = 1_000_000
@@ -43,10 +41,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with the key of each row: dk, tk (long, not null)."""
     key = F.xxhash64(F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
@@ -140,7 +134,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, items."""
     hits = durable(occurrences(docs, benchmark), "decon-hits")
-    base = keyed(docs.select("doc_id", "text")).select("doc_id", "dk", "tk", word_count(F.col("text")).alias("n_words"))
+    base = keyed(docs.select("doc_id", "text")).select("doc_id", "dk", "tk", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if hits.count() <= BROADCAST_KEYS:
         hits = F.broadcast(hits)
     return base.join(hits, ["dk", "tk"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

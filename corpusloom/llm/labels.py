@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import durable
+
 
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, mod n."""
@@ -14,17 +16,24 @@ def fold(doc_id: Column, n: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> tuple[list[str], list[int], dict[int, int]]:
     """Texts and labels of up to `rows` learnable documents of each class, by a hash of the id; and all counts by class.
 
-    Rows with a null id, text or label are not learnt from. A class's share of
-    all labelled rows is in the counts, since the sample is balanced.
+    Ids are chosen first, so that texts are scanned once and never shuffled: the
+    chosen ids, `rows` a class at most, are broadcast. Rows with a null id or
+    label are not learnt from, nor are null texts. Of ids that documents repeat, as
+    many rows are taken as the bound leaves. A class's share of all labelled
+    documents is in the counts, since the sample is balanced.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_label"))
-    both = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id").where(learn)
-    counts = {r._label: r["count"] for r in both.groupBy("_label").count().collect()}
+    known = durable(docs.where(F.col("text").isNotNull() & learn).select("doc_id").distinct().join(marks, "doc_id"), "labelled-ids")
+    counts = {r._label: r["count"] for r in known.groupBy("_label").count().collect()}
     texts, marked = [], []
+    if not counts:
+        return texts, marked, counts
+    chosen = None
     for y in sorted(counts):
-        share = min(1.0, 1.2 * rows / counts[y] + 50 / counts[y])  # the hash thins the rows before the texts meet in one place
-        u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-        got = both.where((F.col("_label") == y) & (u < share)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text").collect()
-        texts += [r.text for r in got]
-        marked += [y] * len(got)
+        own = known.where(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        chosen = own if chosen is None else chosen.unionAll(own)
+    both = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(durable(chosen, "chosen-ids")), "doc_id")
+    for r in both.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows * len(counts)).collect():
+        texts.append(r.text)
+        marked.append(r._label)
     return texts, marked, counts

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as t
 from corpusloom.functions import udfs
 from corpusloom.functions import values as v
-from corpusloom.operators import arrays, layout, metrics, pairs, routes
+from corpusloom.operators import arrays, layout, metrics, pairs, routes, rules
 from corpusloom.session import table
 from corpusloom.sources import readers
 
@@ -465,3 +465,60 @@ def score_pivot(spark, d):
 def corpus_scores(spark, d):
     rows = _turns(spark, d).select((F.col("conv_id") % 3).alias("fold"), F.col("ko").alias("hyp"), F.col("en").alias("ref"))
     return metrics.corpus_scores(rows, ["fold"])
+
+
+NOTES = Rows("id int, direct boolean, there boolean, back boolean", (1, True, False, False), (2, False, True, True), (3, False, True, False))
+
+
+@query(f"WITH {NOTES.sql('r')} SELECT id, CASE WHEN direct THEN NULL WHEN there AND back THEN 'pivoted' ELSE 'unavailable' END AS note FROM r")
+def route_notes(spark, d):
+    return NOTES.df(spark).select("id", rules.note_for(F.col("direct"), F.col("there"), F.col("back")).alias("note"))
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END), ''), source) AS shown, CASE WHEN trim(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lang END) = '' THEN '' WHEN lang = 'en' THEN lang END AS plain FROM documents")
+def fallback_text(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("lang")).alias("x"))
+    return rows.select("doc_id", rules.fallback(F.col("x"), F.col("source")).alias("shown"), rules.translatable(F.col("x"), F.col("lang"), F.lit("en")).alias("plain"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE turn >= 1 AND turn <= 2")
+def page_range(spark, d):
+    return rules.page_range(table(spark, d, "conversations").withColumnRenamed("turn", "page_no"), 0, 2).select("conv_id", F.col("page_no").alias("turn"), "role")
+
+
+
+
+@query("WITH r(id, tokens) AS (VALUES (1, ['▁a', '▁b']), (2, ['x', '▁c'])) SELECT id, tokens, CASE id WHEN 1 THEN [4, 5, 0] ELSE [1, 1, 0] END AS ids FROM r")
+def special_tokens(spark, d):
+    rows = spark.createDataFrame([(1, ["<s>", "▁a", "", "▁b", "</s>"]), (2, ["x", "▁c", "<pad>"])], "id int, tokens array<string>")
+    kept = rules.without_special(F.col("tokens"))
+    return rows.select("id", kept.alias("tokens"), rules.encoded(kept, {"▁a": 4, "▁b": 5}, 1, 0).alias("ids"))
+
+
+@query("SELECT p_partkey, greatest(32, floor(p_size * 7.0 / 32 + 0.5)::INT * 32) AS rounded, greatest(320, least(2048, p_size * 60)) AS side, least(512, greatest(16, 3 * p_size + 8)) AS decode_limit FROM part")
+def size_rules(spark, d):
+    size = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", rules.round_to_32(size * 7.0).alias("rounded"), rules.clamped(size * 60, 320, 2048).alias("side"), rules.decode_limit(size, F.lit(512)).alias("decode_limit"))
+
+
+@query("WITH p AS (SELECT l_orderkey % 100 AS image_id, (l_partkey * 7919 % 16777216)::BIGINT AS argb FROM lineitem), l AS (SELECT *, (argb >> 16 & 255) AS r, (argb >> 8 & 255) AS g, (argb & 255) AS b, ((argb >> 16 & 255) * 299 + (argb >> 8 & 255) * 587 + (argb & 255) * 114) // 1000 AS lum FROM p), m AS (SELECT *, lum <= (min(lum) OVER (PARTITION BY image_id) + max(lum) OVER (PARTITION BY image_id)) / 2.0 AS dark FROM l), n AS (SELECT image_id, count(*) FILTER (dark) <= count(*) FILTER (NOT dark) AS ink_dark FROM m GROUP BY 1) SELECT image_id, floor(avg(r) FILTER (dark = ink_dark))::INT AS ink_r, floor(avg(g) FILTER (dark = ink_dark))::INT AS ink_g, floor(avg(b) FILTER (dark <> ink_dark))::INT AS ground_b FROM m JOIN n USING (image_id) GROUP BY 1")
+def two_colours(spark, d):
+    pixels = table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("image_id"), (F.col("l_partkey") * 7919 % 16777216).cast("int").alias("argb"))
+    return rules.two_colours(pixels).select("image_id", F.col("ink")[0].alias("ink_r"), F.col("ink")[1].alias("ink_g"), F.col("ground")[2].alias("ground_b"))
+
+
+@query("WITH p AS (SELECT 'file ' || c_custkey AS path FROM customer WHERE c_nationkey = 3) SELECT (SELECT string_agg(path, chr(10) ORDER BY path) FROM (SELECT path FROM p ORDER BY path LIMIT 12)) || CASE WHEN count(*) > 12 THEN chr(10) || '… and ' || (count(*) - 12) || ' more' ELSE '' END AS summary FROM p")
+def missing_summary(spark, d):
+    paths = table(spark, d, "customer").where("c_nationkey = 3").select(F.concat(F.lit("file "), F.col("c_custkey").cast("string")).alias("path"))
+    return rules.missing_summary(paths)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F') AND o_orderstatus <> 'O' AND o_orderpriority <> '' THEN o_orderstatus ELSE 'O' END AS lang, CASE o_orderpriority WHEN '1-URGENT' THEN 'red' WHEN '5-LOW' THEN 'green' ELSE 'grey' END AS flag FROM orders")
+def lookups(spark, d):
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", rules.detected(status, F.lit("O"), priority, ["F"]).alias("lang"), rules.looked_up(priority, {"1-URGENT": "red", "5-LOW": "green"}, "grey").alias("flag"))
+
+
+@query("WITH t(s) AS (VALUES ('{n} {item}'), ('the {item} of {n}')), i(x) AS (VALUES ('cat'), ('sign'), ('door')), e AS (SELECT DISTINCT replace(replace(s, '{item}', x), '{n}', n::VARCHAR) AS source FROM t, i, generate_series(2, 99) g(n)) SELECT source FROM e ORDER BY ('0x' || substr(md5('11:' || source), 1, 15))::BIGINT, source LIMIT 100")
+def mock_pairs(spark, d):
+    return rules.mock_pairs(spark, [("{n} {item}", "{item} {n}"), ("the {item} of {n}", "{n} {item}")], [("cat", "a"), ("sign", "b"), ("door", "c")], 100, 11).select("source")

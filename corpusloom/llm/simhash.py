@@ -183,11 +183,10 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each component."""
-    kept = near_duplicates(docs).where("keeper").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    """The rows of docs that stay: one of each component. The texts are shuffled once: the join leaves them dealt by what repeated rows share."""
+    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text_key": F.xxhash64("text")}
+    kept = near_duplicates(docs).where("keeper").select(keys["_none"].alias("_none"), keys["_id"].alias("_id"), F.col("text_key").alias("_text_key")).distinct()
+    return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:

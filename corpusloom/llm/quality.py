@@ -35,8 +35,8 @@ PASSAGE = 64
 SHAPES, WIDTH, GATES = 48, 16, 8
 EXTRA = 7
 ROUNDS, RATE, DECAY = 250, 0.02, 1e-4
-#: Words whose shapes a worker keeps.
-CACHE = 300_000
+#: Words whose shapes a task keeps.
+CACHE = 100_000
 
 
 def shape(word: str) -> int:
@@ -56,10 +56,7 @@ class _Shapes(dict):
         return s
 
 
-_shapes = _Shapes()
-
-
-def encoded(text: str | None) -> np.ndarray:
+def encoded(text: str | None, shapes: _Shapes) -> np.ndarray:
     """A row of SHAPES + EXTRA numbers for each passage."""
     words = (text or "").split()
     n = max(1, -(-len(words) // PASSAGE))
@@ -68,7 +65,7 @@ def encoded(text: str | None) -> np.ndarray:
     size[-1] = len(words) - (n - 1) * PASSAGE
     if words:
         at = np.arange(len(words)) // PASSAGE
-        ids = np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
         x[:, :SHAPES] = np.bincount(at * (SHAPES + EXTRA) + ids, minlength=x.size).reshape(x.shape)[:, :SHAPES]
         same = np.fromiter(map(str.__eq__, words, islice(words, 1, None)), bool, len(words) - 1)
         x[:, SHAPES] = np.bincount(at[1:], same, n)
@@ -123,10 +120,11 @@ def fitted(texts: list[str], marks: list[int], counts: dict[int, int]) -> list[n
         model.p[4][:] = 0
         model.p[5][:] = 0
         return model.p
-    bags = [encoded(t) for t in texts]
+    shapes = _Shapes()
+    bags = [encoded(t, shapes) for t in texts]
     x, starts = np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1]
     y = np.array(marks, float)
-    share = {k: counts[k] / sum(counts.values()) / marks.count(k) for k in counts}
+    share = {k: counts[k] / sum(counts.values()) / max(1, marks.count(k)) for k in counts}
     weight = np.array([share[k] for k in marks])
     first, second = [np.zeros_like(p) for p in model.p], [np.zeros_like(p) for p in model.p]
     for i in range(1, ROUNDS + 1):
@@ -140,12 +138,12 @@ def fitted(texts: list[str], marks: list[int], counts: dict[int, int]) -> list[n
 
 class Scorer:
     def __init__(self, *parameters: np.ndarray):
-        self.model = Model(list(parameters))
+        self.model, self.shapes = Model(list(parameters)), _Shapes()
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        bags = [encoded(t) for t in texts]
+        bags = [encoded(t, self.shapes) for t in texts]
         return self.model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1])[-1]
 
 

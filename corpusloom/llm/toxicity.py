@@ -32,7 +32,7 @@ from corpusloom.session import table
 
 FIT_ROWS = 3000
 WINDOW = 8
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
+ORDINARY_BYTES, TOXIC_BYTES = 65_536, 4_096
 DROPPED = str.maketrans("", "", ".,;:!?()\"")
 STEPS = (2, 3, 4, 6)
 
@@ -72,7 +72,7 @@ def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple
     own = {w for w, n in inside.items() if len(w) >= 4 and n >= least and n * (len(ordinary) + 1) >= 20 * (outside.get(w, 0) + 0.5) * (len(toxic) + 1)}
     seen = [b" " + w + b" " for ws in toxic for w in ws if w in own]
     common = [w for ws in ordinary for w in windows(ws)]
-    return _content(seen, TOXIC_BYTES, 12, 6) if seen else b"", _content(common, ORDINARY_BYTES, 64, 8) if common else b" "
+    return _content(seen, TOXIC_BYTES, 100, 6) if seen else b"", _content(common, ORDINARY_BYTES, 64, 8) if common else b" "
 
 
 class Scorer:

@@ -48,7 +48,7 @@ PIECE = 64
 #: Characters of the documents that are encoded in one go.
 CHARS = 1 << 20
 
-TEMP = "shard int, block int, doc_ids array<long>, doc_lens array<int>, ids binary"
+TEMP = "shard int, block int, doc_ids array<long>, doc_lens array<int>, ids binary, counts array<struct<id:int,n:long>>"
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, doc_lens array<int>, words binary, checkpoints array<struct<step:int,offset:int,states:binary>>, words_crc32 long, ids_crc32 long"
 
 
@@ -106,11 +106,11 @@ BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(
 class Encoder:
     """Texts to little-endian ids of `kind` (array type code H or I)."""
 
-    def __init__(self, path: str, split_safe: bool = True):
+    def __init__(self, path: str, split_safe: bool = True, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split_safe = Tokenizer.from_file(path), split_safe
+        self.tokenizer, self.split_safe, self.most = Tokenizer.from_file(path), split_safe, most
         self.model = self.tokenizer.model
         self.vocab = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.kind = "H" if self.vocab <= 1 << 16 else "I"
@@ -127,7 +127,7 @@ class Encoder:
             return self.whole(texts)
         out = []
         for t in texts:
-            if len(self.pieces) > CACHE:
+            if len(self.pieces) > self.most:
                 old, self.pieces = self.pieces, Pieces(self, {})
                 old.old = {}
                 self.pieces.old = old
@@ -137,34 +137,38 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder_of(path: str, split_safe: bool) -> Encoder:
+def encoder_of(path: str, split_safe: bool, most: int) -> Encoder:
     """The worker's own; a worker that is used again keeps its pieces."""
-    if (path, split_safe) not in _ENCODERS:
-        _ENCODERS[path, split_safe] = Encoder(path, split_safe)
-    return _ENCODERS[path, split_safe]
+    key = path, split_safe, most
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
-def _tokenized(path: str, end_id: int, split_safe: bool, block: int):
+def _tokenized(path: str, end_id: int, split_safe: bool, block: int, pieces: int):
     """Sorted rows (doc_id, text) of a shard to blocks of zstd-compressed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder = encoder_of(path, split_safe)
+        encoder = encoder_of(path, split_safe, pieces)
         end, width = array(encoder.kind, [end_id]).tobytes(), array(encoder.kind).itemsize
         pack = zstandard.ZstdCompressor(level=1)
         shard, number, docs, lens, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def row() -> pa.RecordBatch:
             whole = np.frombuffer(b"".join(ids), f"<u{width}").astype("<u4")
+            n = np.bincount(whole)
+            used = np.flatnonzero(n)
+            counts = pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), pa.StructArray.from_arrays([pa.array(used, pa.int32()), pa.array(n[used], pa.int64())], names=["id", "n"]))
             # Low and high halves apart: zstd finds more in each.
             halves = np.concatenate([(whole & 0xFF).astype(np.uint8), (whole >> 8 & 0xFF).astype(np.uint8), (whole >> 16).astype("<u2").view(np.uint8)])
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([pack.compress(halves.tobytes())], pa.binary())],
-                names=["shard", "block", "doc_ids", "doc_lens", "ids"],
+                [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([pack.compress(halves.tobytes())], pa.binary()), counts],
+                names=["shard", "block", "doc_ids", "doc_lens", "ids", "counts"],
             )
 
         for b in batches:
@@ -197,18 +201,6 @@ def _unpacked(data: bytes) -> np.ndarray:
     return raw[:n].astype(np.uint32) | raw[n : 2 * n].astype(np.uint32) << 8 | raw[2 * n :].view("<u2").astype(np.uint32) << 16
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for b in batches:
-        for data in b.column("ids").to_pylist():
-            c = np.bincount(_unpacked(data))
-            if len(c) > len(total):
-                total, c = c.astype(np.int64), total
-            total[: len(c)] += c
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-
 def _encoded(freq: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq, bits)
@@ -233,21 +225,21 @@ _BLOCKS_ARROW = pa.schema(
 )
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, split_safe: bool = True, block: int = BLOCK) -> None:
-    """Writes the ids of docs (doc_id, text) under path."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, split_safe: bool = True, block: int = BLOCK, pieces: int = CACHE) -> None:
+    """Writes the ids of docs (doc_id, text) under path. pieces: how many a worker keeps, memory against time."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    temp = durable(dealt.mapInArrow(_tokenized(tokenizer or default_tokenizer(), end_id, split_safe, block), TEMP), "token-blocks")
-    counts = temp.select("ids").mapInArrow(_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
+    temp = durable(dealt.mapInArrow(_tokenized(tokenizer or default_tokenizer(), end_id, split_safe, block, pieces), TEMP), "token-blocks")
+    counts = temp.select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     per = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
     for r in counts:
         per[r.id] = r.n
     freq, bits = quantized(per)
     used = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(used, "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
-    temp.mapInArrow(_encoded(freq, bits), BLOCKS).write.parquet(f"{path}/blocks")
+    temp.drop("counts").mapInArrow(_encoded(freq, bits), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> tuple[np.ndarray, int]:
@@ -304,11 +296,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return docs.select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def tokenized(docs: DataFrame) -> DataFrame:
+def tokenized(docs: DataFrame, pieces: int = CACHE) -> DataFrame:
     """Writes docs in the shared folder and reads the files back."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path)
+    write_tokens(docs, path, pieces=pieces)
     return read_tokens(spark, path)
 
 

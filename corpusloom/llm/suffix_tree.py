@@ -2,16 +2,19 @@
 
 A text is its lower-cased (A-Z) words, a space after each but the last, and an
 end symbol; symbols are bytes. Contexts are the last 0 to DEPTH symbols. Counts
-of all training texts are gathered; a context is kept where its share of the
-corpus is at least P_MIN and its next-symbol distribution diverges from that of
-its suffix: n times the Kullback-Leibler divergence of at least MIN_GAIN nats. Its
-distribution is smoothed with its suffix's. The tree becomes an automaton whose
-state is the longest kept suffix, so that texts are scored by table look-ups.
-
-P_MIN bounds the tree: at most 1 / P_MIN contexts a depth, which is what the
-driver gathers and broadcasts, whatever the corpus. Word counts (for the base
-score) stay distributed: the most frequent HOT_WORDS words are broadcast, the
-others' counts are joined.
+of all training texts are gathered; a context is kept where it was seen LEAST
+times and its next-symbol distribution diverges from that of its suffix: n times
+the Kullback-Leibler divergence of at least MIN_GAIN nats. Its distribution is
+smoothed with its suffix's.
+
+The tree grows with the corpus and stays a table. A context's suffixes share its
+last TAIL symbols, so each tail's contexts are tested in one task; only shorter
+contexts (at most 257) are with the driver. The table holds the log10 probability
+of each symbol that was seen after a kept context, and for the others a weight on
+the suffix's. Texts are scored by the tails' tables, which are broadcast in pieces
+of at most PIECE entries (or one tail), with a pass over the texts for each piece.
+Word counts (for the base score) stay distributed: the most frequent HOT_WORDS
+words are broadcast, the others' counts are joined.
 
 Cases: a null or empty text is the end symbol alone; rows with a null doc_id are
 training rows; no training rows give uniform symbols and a base of c = N = V = 0;
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import durable, table
 
 DEPTH = 6
-P_MIN = 3e-6
+LEAST = 2
 MIN_GAIN = 10.0
 SMOOTH = 4.0
 HOT_WORDS = 200_000
@@ -42,6 +45,10 @@ END = "\n"
 CHUNK, WORDS = 1 << 22, 400_000
 #: Symbols that the automaton reads in one lane.
 LANE = 256
+#: Last symbols of a context that name its part of the tree, and entries of the tree that are broadcast at once.
+TAIL, PIECE = 2, 4_000_000
+#: Grams of whole tails that are tested at once, and symbols that are scored at once.
+BLOCK, SCORED = 1 << 20, 1 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -52,8 +59,8 @@ def symbols(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\n"
 
 
-def _grams(stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (up to DEPTH symbols, next symbol) with their length below, and counts; contexts do not cross starts."""
+def _codes(stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Code of (up to DEPTH symbols, next symbol) with its length below, by position; contexts do not cross starts."""
     n = len(stream)
     at = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
     depth = np.minimum(at, DEPTH)
@@ -62,7 +69,12 @@ def _grams(stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         code <<= np.uint64(8)
         if back < n:
             code[back:] |= np.where(depth[back:] >= back, stream[: n - back].astype(np.uint64), np.uint64(0))
-    return np.unique(code << np.uint64(3) | depth.astype(np.uint64), return_counts=True)
+    return code << np.uint64(3) | depth.astype(np.uint64)
+
+
+def _grams(stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes and their counts."""
+    return np.unique(_codes(stream, starts), return_counts=True)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +132,7 @@ def gathered(train: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """The automaton: next state and log10 probability by state and symbol class."""
+    """A tree in memory as an automaton: next state and log10 probability by state and symbol class."""
 
     def __init__(self, contexts: dict[bytes, dict[int, int]], smooth: float = SMOOTH, min_gain: float = MIN_GAIN):
         root = contexts.get(b"", {})
@@ -203,8 +215,8 @@ class Tree:
         return np.bincount(doc, total, len(texts))
 
 
-def contexts_of(counts: DataFrame, p_min: float = P_MIN) -> dict[bytes, dict[int, int]]:
-    """Next-symbol counts of the contexts whose share is at least p_min: at most 1 / p_min a depth."""
+def contexts_of(counts: DataFrame, p_min: float = 0.0) -> dict[bytes, dict[int, int]]:
+    """Next-symbol counts of the contexts seen LEAST times whose share is at least p_min, for a Tree in memory."""
     grams = counts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
     have = F.col("gram").bitwiseAND(F.lit(7)).cast("int")
     code = F.shiftrightunsigned("gram", 3)
@@ -213,7 +225,7 @@ def contexts_of(counts: DataFrame, p_min: float = P_MIN) -> dict[bytes, dict[int
     each = durable(each.groupBy("d", F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n")), "pst-grams")
     context = F.shiftrightunsigned("code", 8)
     total = each.where("d = 0").agg(F.sum("n")).first()[0] or 0
-    large = each.groupBy("d", context.alias("context")).agg(F.sum("n").alias("of")).where(F.col("of") >= max(2.0, p_min * total))
+    large = each.groupBy("d", context.alias("context")).agg(F.sum("n").alias("of")).where(F.col("of") >= max(LEAST, p_min * total))
     rows = each.withColumn("context", context).join(large, ["d", "context"]).select("d", "code", "n").toArrow()
     out: dict[bytes, dict[int, int]] = {}
     for d, c, n in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
@@ -221,6 +233,174 @@ def contexts_of(counts: DataFrame, p_min: float = P_MIN) -> dict[bytes, dict[int
     return out
 
 
+def _level(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in order, and the sums of n."""
+    code, inverse = np.unique(code, return_inverse=True)
+    return code, np.bincount(inverse, n, len(code))
+
+
+def _tested(code: np.ndarray, n: np.ndarray, upper: tuple[np.ndarray, np.ndarray]) -> tuple:
+    """A level's divergence test, from its grams and the level above (grams, p).
+
+    Gives the level (grams, p), with p the probability at the nearest kept context, and of
+    the kept contexts grams, log10 p, contexts, log10 of the weight on the suffix's distribution.
+    """
+    context = code >> 8
+    new = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(code) else np.zeros(0, np.int64)
+    size = np.add.reduceat(n, new) if len(new) else np.zeros(0)
+    often = np.repeat(size >= LEAST, np.diff(np.append(new, len(code))))
+    code, n = code[often], n[often]
+    if not len(code):
+        return (code, n), (code, n, code, n)
+    context, size = context[new][size >= LEAST], size[size >= LEAST]
+    new = np.flatnonzero(np.append(True, code[1:] >> 8 != code[:-1] >> 8))
+    runs = np.diff(np.append(new, len(code)))
+    # A context's grams are also its suffix's, which was seen as often at least.
+    bits = upper[2]
+    p = upper[1][np.searchsorted(upper[0], code & ((1 << bits) - 1))]
+    each = np.repeat(size, runs)
+    keep = np.add.reduceat(n * np.log(n / each / p), new) >= MIN_GAIN
+    own = np.repeat(keep, runs)
+    p = np.where(own, (n + SMOOTH * p) / (each + SMOOTH), p)
+    return (code, p), (code[own], np.log10(p[own]), context[keep], np.log10(SMOOTH / (size[keep] + SMOOTH)))
+
+
+def _root(n: np.ndarray) -> np.ndarray:
+    """Probabilities of the 256 symbols from their counts."""
+    return (n + 0.5) / (n.sum() + 128)
+
+
+def _shallow(grams: DataFrame) -> tuple[np.ndarray, list, tuple]:
+    """log10 probabilities of the symbols, entries of the contexts shorter than TAIL by length, and the last level."""
+    have = F.col("gram").bitwiseAND(F.lit(7)).cast("int")
+    code = F.shiftrightunsigned("gram", 3)
+    rows = grams.groupBy(F.least(have, F.lit(TAIL - 1)).alias("d"), code.bitwiseAND(F.lit((1 << 8 * TAIL) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    d, code, n = (rows.column(i).to_numpy() for i in range(3))
+    root = _root(np.bincount(code & 255, n, 256) if len(n) else np.zeros(256))
+    level, out = (np.arange(256), root), []
+    for length in range(1, TAIL):
+        on = d >= length
+        c, k = _level(code[on] & ((1 << 8 * (length + 1)) - 1), n[on])
+        level, entries = _tested(c, k, (*level, 8 * length))
+        out.append(entries)
+    return np.log10(root), out, level
+
+
+def _grown(upper):
+    """Grams sorted by tail: entries of the kept contexts."""
+
+    def block(tail: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        have, code = gram & 7, gram >> 3
+        levels, c, k = [], np.zeros(0, np.int64), np.zeros(0)
+        for d in range(DEPTH, TAIL - 1, -1):
+            mask, on = (1 << 8 * (d + 1)) - 1, have == d
+            c, k = _level(np.concatenate([c & mask, code[on]]), np.concatenate([k, n[on]]))
+            levels.append((d, c, k))
+        above = upper.value
+        for d, c, k in reversed(levels):
+            above, (grams, logs, contexts, weights) = _tested(c, k, (*above, 8 * d))
+            for key, value, kind in ((grams, logs, False), (contexts, weights, True)):
+                t = (key if kind else key >> 8) & ((1 << 8 * TAIL) - 1)
+                for i in range(0, len(key), 100_000):
+                    m = len(key[i : i + 100_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(t[i : i + m].astype(np.int32)), pa.array(np.full(m, d, np.int32)), pa.array(np.full(m, kind)), pa.array(key[i : i + m]), pa.array(value[i : i + m].astype(np.float32))],
+                        names=["tail", "d", "weight", "code", "value"],
+                    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            got = [b.column(i).to_numpy() for i in range(3)]
+            cut = np.flatnonzero(np.diff(got[0], prepend=held[-1][0][-1] if held else got[0][:1]))
+            if size + len(got[0]) > BLOCK and len(cut):
+                held.append([x[: cut[-1]] for x in got])
+                yield from block(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size, got = [], 0, [x[cut[-1] :] for x in got]
+            held.append(got)
+            size += len(got[0])
+        if held:
+            yield from block(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+class Kept:
+    """A piece of the tree: of contexts of each length, sorted grams with log10 p, and sorted contexts with weights."""
+
+    def __init__(self, root: np.ndarray, shallow: list, rows: pa.Table, number: int, piece_of: np.ndarray):
+        self.root, self.number, self.piece_of = root, number, piece_of
+        self.levels = [(g, p.astype(np.float32), c, w.astype(np.float32)) for g, p, c, w in shallow]
+        d, weight, code, value = (rows.column(x).to_numpy() for x in ("d", "weight", "code", "value"))
+        for length in range(TAIL, DEPTH + 1):
+            level = []
+            for on in ((d == length) & ~weight, (d == length) & weight):
+                order = np.argsort(code[on])
+                level += [code[on][order], value[on][order]]
+            self.levels.append(tuple(level))
+
+    def logs(self, gram: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram."""
+        have, code = gram & 7, gram >> 3
+        out, left = np.zeros(len(gram)), np.arange(len(gram))
+        for d in range(DEPTH, 0, -1):
+            grams, p, contexts, weights = self.levels[d - 1]
+            deep = have[left] >= d
+            if not len(contexts) or not deep.any():
+                continue
+            at = left[deep]
+            key = code[at] & ((1 << 8 * (d + 1)) - 1)
+            i = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
+            hit = grams[i] == key
+            out[at[hit]] += p[i[hit]]
+            missed, key = at[~hit], key[~hit] >> 8
+            i = np.minimum(np.searchsorted(contexts, key), len(contexts) - 1)
+            kept = contexts[i] == key
+            out[missed[kept]] += weights[i[kept]]
+            left = np.concatenate([left[~deep], missed])
+        out[left] += self.root[code[left] & 255]
+        return out
+
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each of the symbol strings, as far as its symbols fall to this piece."""
+        if not texts:
+            return np.zeros(0)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        gram = _codes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths).view(np.int64)
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        if self.piece_of.any():
+            piece = np.where(gram & 7 >= TAIL, self.piece_of[gram >> 11 & ((1 << 8 * TAIL) - 1)], 0)
+            mine = piece == self.number
+            gram, doc = gram[mine], doc[mine]
+        gram, inverse = np.unique(gram, return_inverse=True)
+        return np.bincount(doc, self.logs(gram)[inverse], len(texts))
+
+
+def kept_pieces(counts: DataFrame, most: int = PIECE) -> tuple[int, Iterator[Kept]]:
+    """Number of pieces of the tree, and the pieces, each gathered when it is asked for."""
+    spark = counts.sparkSession
+    grams = durable(counts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "pst-grams")
+    root, shallow, last = _shallow(grams)
+    deep = grams.where(F.col("gram").bitwiseAND(F.lit(7)) >= TAIL)
+    tail = F.shiftrightunsigned("gram", 11).bitwiseAND(F.lit((1 << 8 * TAIL) - 1)).cast("int")
+    dealt = deep.select(tail.alias("tail"), "gram", "n").repartition("tail").sortWithinPartitions("tail")
+    tree = durable(dealt.mapInArrow(_grown(spark.sparkContext.broadcast(last)), "tail int, d int, weight boolean, code long, value float"), "pst-tree")
+    piece_of, number, size = np.zeros(1 << 8 * TAIL, np.int32), 0, 0
+    for r in tree.groupBy("tail").count().orderBy("tail").collect():  # at most 65,536
+        if size and size + r["count"] > most:
+            number, size = number + 1, 0
+        piece_of[r.tail] = number
+        size += r["count"]
+    firsts = [int(np.flatnonzero(piece_of == i)[0]) for i in range(1, number + 1)]
+
+    def pieces() -> Iterator[Kept]:
+        for i, (low, high) in enumerate(zip([0, *firsts], [*firsts, 1 << 8 * TAIL], strict=True)):
+            part = tree if not firsts else tree.where((F.col("tail") >= low) & (F.col("tail") < high))
+            yield Kept(root, shallow, part.select("d", "weight", "code", "value").toArrow(), i, piece_of)
+
+    return number + 1, pieces()
+
+
 def _hot(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     """Words above a count so chosen that there are at most `most`, with their counts, and that count."""
     bins = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("bin")).count().collect()  # at most 8 * 63 rows
@@ -235,15 +415,35 @@ def _hot(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return dict(zip(rows.column("word").to_pylist(), rows.column("c").to_pylist(), strict=True)), n
 
 
+def _part_scored(model):
+    """row and score of a further piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, texts in _parts(b):
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.value.scores([symbols(tokens(t)) for t in texts]), pa.float64())], names=["row", "score"])
+
+    return run
+
+
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of about SCORED symbols, or one text, with their texts."""
+    texts, first, size = b.column("text").to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= SCORED or i == len(texts) - 1:
+            yield b.slice(first, i + 1 - first), texts[first : i + 1]
+            first, size = i + 1, 0
+
+
 def _scored(model, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, hot = model.value, words.value
         logs = {w: math.log10(c + 0.5) for w, c in hot.items()}
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part, texts in _parts(b):
                 n, known, base, cold, streams = [], [], [], [], []
-                for t in part.column("text").to_pylist():
+                for t in texts:
                     w = tokens(t)
                     streams.append(symbols(w))
                     w.append(b"\n")
@@ -253,25 +453,37 @@ def _scored(model, words):
                     base.append(math.fsum(logs[x] for x in w if x in logs))
                     cold.append(rest)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.scores(streams), pa.float64()), pa.array(cold, pa.list_(pa.binary()))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "cold"],
+                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.scores(streams), pa.float64()), pa.array(cold, pa.list_(pa.binary()))],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "cold"],
                 )
 
     return run
 
 
-def scored(docs: DataFrame, held_out, p_min: float = P_MIN, hot_words: int = HOT_WORDS) -> DataFrame:
+def scored(docs: DataFrame, held_out, hot_words: int = HOT_WORDS, piece: int = PIECE) -> DataFrame:
     """Scores of docs (doc_id, text); rows where held_out (a condition on docs) holds are not learnt from."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = gathered(rows.where(~F.col("held_out")))
-    tree = spark.sparkContext.broadcast(Tree(contexts_of(counts, p_min)))
+    n_pieces, pieces = kept_pieces(counts, piece)
     words = durable(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "pst-words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     hot, _ = _hot(words, hot_words)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, cold array<binary>"
-    each = rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_scored(tree, spark.sparkContext.broadcast(hot)), schema)
-    each = durable(each.withColumn("row", F.monotonically_increasing_id()), "pst-scores")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, cold array<binary>"
+    numbered = rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id())
+    if n_pieces > 1:  # the passes must agree on the numbers
+        numbered = durable(numbered, "pst-rows")
+    tree = spark.sparkContext.broadcast(next(pieces))
+    each = durable(numbered.mapInArrow(_scored(tree, spark.sparkContext.broadcast(hot)), schema), "pst-scores")
+    further = None
+    for k in pieces:
+        tree.destroy()
+        tree = spark.sparkContext.broadcast(k)
+        part = durable(numbered.select("row", "text").mapInArrow(_part_scored(tree), "row long, score double"), "pst-scores")
+        further = part if further is None else further.unionAll(part)
+    if further is not None:
+        more = further.groupBy("row").agg(F.sum("score").alias("others"))
+        each = each.join(more, "row").withColumn("score", F.col("score") + F.col("others")).drop("others")
     cold = each.select("row", F.explode("cold").alias("word")).join(words, "word", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
     per = cold.groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("more"), F.sum((F.col("c") > 0).cast("long")).alias("known"))
     floor = F.log10(F.lit(total.n + 0.5 * (total.v + 1)))

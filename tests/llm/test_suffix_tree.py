@@ -92,6 +92,29 @@ def test_tree_against_brute_force(spark):
     assert np.allclose(probabilities[:, :-1].sum(1) + probabilities[:, -1] * (257 - tree.width), 1, atol=1e-4)
 
 
+def test_tree_in_pieces_against_tree_in_memory(spark):
+    r = random.Random(11)
+    texts = [" ".join(r.choices(["banana", "bandana", "cab", "é", "x"], k=r.randint(0, 200))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (70, "zebra banana \x07"), (71, None)], "doc_id long, text string")
+    tree = m.Tree(m.contexts_of(m.gathered(docs.where("doc_id < 60"))))
+    for piece in (m.PIECE, 5):
+        assert (m.kept_pieces(m.gathered(docs.where("doc_id < 60")), piece)[0] > 1) == (piece == 5)
+        got = {x.doc_id: x.score for x in m.scored(docs, m.F.expr("doc_id >= 60"), piece=piece).collect()}
+        want = tree.scores([m.symbols(m.tokens(x.text)) for x in docs.orderBy("doc_id").collect()])
+        assert np.allclose([got[i] for i in sorted(got)], want, rtol=1e-5)
+
+
+def test_kept_contexts_do_not_fall_out_as_the_corpus_grows(spark):
+    rare = "qzxj kvwq"
+    few = [(i, rare) for i in range(6)]
+    many = [*few, *((i, "the common words of a long text " * 400) for i in range(10, 210))]
+    scores = []
+    for rows in (few, many):
+        df = spark.createDataFrame([*rows, (-1, rare)], "doc_id long, text string")
+        scores += [x.score for x in m.scored(df, m.F.expr("doc_id < 0")).where("doc_id < 0").collect()]
+    assert scores[1] > 3 * scores[0]  # both are negative: rare contexts are still there beside 2.5 MB of other text
+
+
 def test_empty(spark):
     assert m.scored(spark.createDataFrame([], "doc_id long, text string"), m.F.lit(False)).count() == 0
 

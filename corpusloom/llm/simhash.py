@@ -182,10 +182,11 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     return prints.join(per, "fp").select("doc_id", "text_key", "fp", F.col("first.doc_id").alias("component_id"), keeper.alias("keeper"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each component. The texts are shuffled once: the join leaves them dealt by what repeated rows share."""
+def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that stay: one of each component of found (near_duplicates, by default). The texts are shuffled once: the join leaves them dealt by what repeated rows share."""
     keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text_key": F.xxhash64("text")}
-    kept = near_duplicates(docs).where("keeper").select(keys["_none"].alias("_none"), keys["_id"].alias("_id"), F.col("text_key").alias("_text_key")).distinct()
+    found = near_duplicates(docs) if found is None else found
+    kept = found.where("keeper").select(keys["_none"].alias("_none"), keys["_id"].alias("_id"), F.col("text_key").alias("_text_key")).distinct()
     return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).select(*docs.columns)
 
 

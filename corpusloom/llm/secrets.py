@@ -34,7 +34,7 @@ VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 #: Weak candidates, by role.
 WEAK = {
     "id": r"""(?i:\b(?:client_?id|access_?key_?id|account_?id|user_?name|login))["']?+\x20*+[:=]\x20*+["']?+[A-Za-z0-9_.@-]{3,}+""",
-    "key": r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,80}+=*+(?![A-Za-z0-9+/_=-])",
+    "key": r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9+/_=-])",
     "endpoint": r"""(?i:\bhttps?://[a-z0-9.-]++(?::[0-9]++)?+(?:/[A-Za-z0-9._~/-]*+)?+|\b(?:endpoint|host|server|base_?url)["']?+\x20*+[:=]\x20*+["']?+[a-z0-9.:/-]{4,}+)""",
 }
 RANKS = {"assign": 0, "access": 1, "hex": 2, "id": 3, "key": 4, "endpoint": 5}

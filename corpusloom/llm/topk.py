@@ -13,7 +13,8 @@ nor do rows with a null vec_id; a candidate with the query's vec_id is its own
 row; repeated candidates count as often as they are there, repeated queries
 once; fewer than k candidates are all returned; ties go to the smaller vec_id;
 an empty table gives an empty result; vectors whose length is not the most
-common one of the queries' block are refused with an error.
+common one of the queries' block are refused with an error, and so are a
+component whose integer passes 63 bits and a score of 2**62 or more.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ K, SCALE = 10, 1024
 #: Queries that are broadcast at once (with 64 components, 2 MB).
 QUERY_BLOCK = 4096
 BINS = 256
+#: Largest score: the distance of two scores fits 63 bits.
+LARGEST = 2**62 - 1
 #: Candidates that are scored at once.
 ROWS = 2048
 
@@ -38,8 +41,9 @@ ROWS = 2048
 def integers(df: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v (array of long) of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
-    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**40)))
-    return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
+    whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    integer = lambda c: F.when(F.abs(c * scale) < F.lit(2.0**63), F.floor(c * scale)).otherwise(F.raise_error(F.lit("component too large")).cast("long"))
+    return df.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, integer).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -50,9 +54,16 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T, exact: in doubles where no sum can pass 2**53."""
+    """a @ b.T, exact: in doubles where no sum can pass 2**53, in Python's integers where one could pass LARGEST."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < 2**53 else a @ b.T
+    if most < 2**53:
+        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
+    if most < LARGEST:
+        return a @ b.T
+    out = a.astype(object) @ b.T.astype(object)
+    if out.size and max(abs(out.min()), abs(out.max())) > LARGEST:
+        raise ValueError("a score is too large")
+    return out.astype(np.int64)
 
 
 def _scores(queries: np.ndarray, ids: np.ndarray, batches: Iterator[pa.RecordBatch]):
@@ -100,10 +111,10 @@ def _best(queries, ids, least, k):
 
 def _thresholds(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Each query's kth best score, or what is below all where there are fewer."""
-    norm = np.abs(queries).sum(1)
+    norm = np.abs(queries).astype(object).sum(1)
     most = vectors.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()[0] or 0
-    low = -norm * most
-    high = norm * most
+    high = np.array([min(int(x) * most, LARGEST) for x in norm], np.int64)
+    low = none = -high
     few = np.zeros(len(ids), bool)
     while True:
         width = np.maximum(1, -(-(high - low + 1) // BINS))
@@ -117,7 +128,7 @@ def _thresholds(vectors: DataFrame, queries: np.ndarray, ids: np.ndarray, k: int
         at = np.where(few, 0, np.minimum(at, BINS - 1))
         low, high = low + at * width, low + (at + 1) * width - 1
         if (few | (width == 1)).all():
-            return np.where(few, -norm * most, low)
+            return np.where(few, none, low)
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:

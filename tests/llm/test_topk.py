@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from corpusloom.llm import topk
 
 
@@ -25,6 +27,18 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, got)) == brute(rows, k, set(range(0, 600, 60)))
 
 
+def test_large_components(spark):
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) * 2.0 ** r.choice([0, 30, 41]) for _ in range(2)]) for i in range(1, 60)]
+    rows += [(100, [2.0**41, 0.0]), (101, [0.0, -(2.0**41)]), (0, [1.0, 1.0])]
+    schema = "vec_id long, embedding array<double>"
+    got = topk.top_k(spark.createDataFrame(rows, schema), topk.F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10, {0})
+    for large in (2.0**45, 2.0**60):  # a score, or a component, that cannot be held
+        with pytest.raises(Exception, match="too large"):
+            topk.top_k(spark.createDataFrame([(0, [large]), (1, [large])], schema), topk.F.col("vec_id") == 0).collect()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     assert topk.top_k(df.where("false"), topk.F.lit(True)).count() == 0

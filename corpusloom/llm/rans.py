@@ -11,9 +11,9 @@ import numpy as np
 
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
-LANES = 1024
+LANES = 2048
 #: Steps between checkpoints; times LANES, the tokens between them.
-EVERY = 128
+EVERY = 64
 
 
 def quantized(counts: np.ndarray) -> tuple[np.ndarray, int]:

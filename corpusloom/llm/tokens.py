@@ -8,11 +8,12 @@ word offset and lane states; decoding can start at each), and crc32 checksums
 of the words and of the ids.
 
 Texts are dealt by ranges of doc_id once; the blocks of ids are written, counted
-over all blocks, and encoded where they lie. The tokenizer library encodes each
-white-space separated piece when it is first met (letters and the marks after
-them apart, where its pre-tokenizer parts them too); this equals encoding the
-whole text for tokenizers that split at white space and drop it, which is tested
-for the file used here (`split_safe=False` encodes whole texts instead).
+over all blocks, and encoded where they lie. Texts are cut at white space, and
+the tokenizer library encodes each different piece when it is first met (letters
+and the marks after them apart, where its pre-tokenizer parts them too); this
+equals encoding the whole text for tokenizers that split at white space and drop
+it, which is tested for the file used here (`split_safe=False` encodes whole texts
+instead).
 
 Cases: a null or empty text gives the end id alone; null ids come first; rows
 with one id are ordered by a hash of the text and all written; an empty table
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,8 +47,8 @@ END_ID = 1
 #: Pieces in one of the two generations that a worker keeps: about 200 bytes each.
 CACHE = 600_000
 PIECE = 64
-#: Characters of the documents that are encoded in one go.
-CHARS = 1 << 20
+#: Characters of the documents that are encoded in one go (or one document): their different pieces are looked up once.
+CHARS = 1 << 24
 
 TEMP = "shard int, block int, doc_ids array<long>, doc_lens array<int>, ids binary, counts array<struct<id:int,n:long>>"
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, doc_lens array<int>, words binary, checkpoints array<struct<step:int,offset:int,states:binary>>, words_crc32 long, ids_crc32 long"
@@ -85,7 +87,7 @@ class Pieces(dict):
         if (m := SIMPLE.fullmatch(piece)) and "<|" not in piece:
             letters, marks = m.groups()
             if not marks:
-                return array(self.kind, [t.id for t in self.merged(letters.lower().encode().decode("latin-1").translate(BYTES))]).tobytes()
+                return array(self.kind, [t.id for t in self.merged("".join([BYTES[b] for b in letters.lower().encode()]))]).tobytes()
             if letters:
                 return self[letters] + self[marks]
         return self.encoder.whole([piece])[0]
@@ -100,7 +102,8 @@ SIMPLE_FOR = {
 }
 #: Byte-level vocabularies write bytes that are not printable Latin-1 as the code points from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+_SHOWN_AS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+BYTES = [chr(_SHOWN_AS.get(b, b)) for b in range(256)]
 
 
 class Encoder:
@@ -123,18 +126,32 @@ class Encoder:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.split_safe:
+        if not self.split_safe or not texts:
             return self.whole(texts)
-        out = []
-        for t in texts:
-            if len(self.pieces) > self.most:
-                old, self.pieces = self.pieces, Pieces(self, {})
-                old.old = {}
-                self.pieces.old = old
-            if self.simple and "<|" not in t:
-                t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only
-            out.append(b"".join(map(self.pieces.__getitem__, t.replace("\n", " ").split(" "))))
-        return out
+        made = pa.array(texts, pa.large_string())
+        if self.simple:  # A-Z only
+            lowered = pc.ascii_lower(made)
+            made = pc.if_else(pc.match_substring(made, "<|"), made, lowered)
+        parts = pc.split_pattern(pc.replace_substring(made, "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        codes = list(map(self.pieces.__getitem__, words.dictionary.to_pylist()))
+        width = array(self.kind).itemsize
+        sizes = np.fromiter(map(len, codes), np.int32, len(codes)) // width
+        ids = np.frombuffer(b"".join(codes), f"<u{width}")
+        del codes
+        if len(self.pieces) > self.most:
+            old, self.pieces = self.pieces, Pieces(self, {})
+            old.old = {}
+            self.pieces.old = old
+        which = words.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n, dtype=np.int64)
+        # Of each word's ids the place in ids, less the place in the texts.
+        at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[which] - (ends - n)).astype(np.int32 if len(ends) and ends[-1] < 1 << 31 and len(ids) < 1 << 31 else np.int64), n)
+        at += np.arange(len(at), dtype=at.dtype)
+        data = ids[at].tobytes()
+        cuts = (np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()] * width).tolist()
+        return [data[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 _ENCODERS: dict[tuple[str, bool, int], Encoder] = {}
@@ -148,7 +165,7 @@ def encoder_of(path: str, split_safe: bool, most: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def _tokenized(path: str, end_id: int, split_safe: bool, block: int, pieces: int):
+def _tokenized(path: str, end_id: int, split_safe: bool, block: int, pieces: int, chars: int):
     """Sorted rows (doc_id, text) of a shard to blocks of zstd-compressed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +193,7 @@ def _tokenized(path: str, end_id: int, split_safe: bool, block: int, pieces: int
             at = 0
             while at < len(texts):
                 size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= CHARS):
+                while to < len(texts) and (to == at or size + len(texts[to]) <= chars):
                     size, to = size + len(texts[to]), to + 1
                 for name, code in zip(names[at:to], encoder.encode(texts[at:to]), strict=True):
                     ids += [code, end]
@@ -225,13 +242,13 @@ _BLOCKS_ARROW = pa.schema(
 )
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, split_safe: bool = True, block: int = BLOCK, pieces: int = CACHE) -> None:
-    """Writes the ids of docs (doc_id, text) under path. pieces: how many a worker keeps, memory against time."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, split_safe: bool = True, block: int = BLOCK, pieces: int = CACHE, chars: int = CHARS) -> None:
+    """Writes the ids of docs (doc_id, text) under path. pieces: how many a worker keeps, chars: what it encodes at once; memory against time."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    temp = durable(dealt.mapInArrow(_tokenized(tokenizer or default_tokenizer(), end_id, split_safe, block, pieces), TEMP), "token-blocks")
+    temp = durable(dealt.mapInArrow(_tokenized(tokenizer or default_tokenizer(), end_id, split_safe, block, pieces, chars), TEMP), "token-blocks")
     counts = temp.select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     per = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
     for r in counts:
@@ -296,11 +313,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return docs.select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def tokenized(docs: DataFrame, pieces: int = CACHE) -> DataFrame:
+def tokenized(docs: DataFrame, pieces: int = CACHE, chars: int = CHARS) -> DataFrame:
     """Writes docs in the shared folder and reads the files back."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, pieces=pieces)
+    write_tokens(docs, path, pieces=pieces, chars=chars)
     return read_tokens(spark, path)
 
 

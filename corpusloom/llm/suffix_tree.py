@@ -62,14 +62,18 @@ def symbols(words: list[bytes]) -> bytes:
 def _codes(stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Code of (up to DEPTH symbols, next symbol) with its length below, by position; contexts do not cross starts."""
     n = len(stream)
-    at = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    depth = np.minimum(at, DEPTH)
-    code = np.zeros(n, np.uint64)
-    for back in range(DEPTH, -1, -1):
-        code <<= np.uint64(8)
-        if back < n:
-            code[back:] |= np.where(depth[back:] >= back, stream[: n - back].astype(np.uint64), np.uint64(0))
-    return code << np.uint64(3) | depth.astype(np.uint64)
+    # Each position's last eight bytes as a number, by reading at every byte.
+    padded = np.concatenate([np.zeros(7, np.uint8), stream])
+    code = np.ndarray((n,), ">u8", padded.data, strides=(1,)).astype(np.uint64)
+    code &= np.uint64((1 << 8 * (DEPTH + 1)) - 1)
+    code <<= np.uint64(3)
+    code |= np.uint64(DEPTH)
+    ends = np.append(starts[1:], n)
+    for depth in range(DEPTH):
+        at = starts + depth
+        at = at[at < ends]
+        code[at] = (code[at] >> np.uint64(3) & np.uint64((1 << 8 * (depth + 1)) - 1)) << np.uint64(3) | np.uint64(depth)
+    return code
 
 
 def _grams(stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -447,10 +451,11 @@ def _scored(model, words):
                     w = tokens(t)
                     streams.append(symbols(w))
                     w.append(b"\n")
-                    rest = [x for x in w if x not in logs]
+                    found = list(map(logs.get, w))
+                    rest = [x for x, v in zip(w, found, strict=True) if v is None]
                     n.append(len(w))
                     known.append(len(w) - len(rest))
-                    base.append(math.fsum(logs[x] for x in w if x in logs))
+                    base.append(math.fsum([v for v in found if v is not None] if rest else found))
                     cold.append(rest)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(tree.scores(streams), pa.float64()), pa.array(cold, pa.list_(pa.binary()))],

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -25,8 +27,10 @@ def local_session(app: str = "corpusloom", cores: str = "8", partitions: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and the session is local."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
@@ -36,13 +40,32 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage, survives lost executors, and computes df once for
     several readers. The files go when the driver's Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def durable_parts(parts: Iterator[DataFrame], spark: SparkSession, schema: str, name: str) -> DataFrame:
+    """As durable, of several DataFrames of one schema, each computed when its turn comes."""
+    path = shared_path(spark, name)
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def sent(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, a table that durable() wrote, to be broadcast if it has at most so many rows; its rows must be short."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _clean() -> None:

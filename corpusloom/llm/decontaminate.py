@@ -15,7 +15,7 @@ Cases: a null or empty text has no words and no hits; an item without words has
 no window, one of fewer than ten words has one window; items with a null id
 mark words but are not counted or named; repeated items and repeated rows do no
 harm; a null doc_id is an id like others; empty tables give no hits; other
-columns are not touched.
+columns, of any name, are not touched.
 """
 
 from __future__ import annotations
@@ -107,13 +107,14 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 5, siz
     return both.join(_sent(anchors.select("wid", "phrase"), BROADCAST_TERMS), "wid").join(ids, ["dk", "tk"]).select("doc_id", "phrase", "start")
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """A row for each document with hits: dk, tk, n_hit, items (sorted ids)."""
+def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Two tables: dk, tk, n_hit of each document with hits; and dk, tk, items (sorted ids) of those."""
     docs = docs.select("doc_id", "text")
     anchors = durable(anchored(windows(benchmark, size), docs), "decon-windows")
     found = durable(phrase_candidates(postings(docs, anchors), anchors), "decon-candidates")
-    phrases = found.join(_sent(anchors.select("wid", "phrase", "items"), BROADCAST_TERMS), "wid")
-    per = durable(phrases.groupBy("dk", "tk").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("cands")), "decon-documents")
+    phrases = found.join(_sent(anchors.select("wid", "phrase"), BROADCAST_TERMS), "wid")
+    # At a start, at most one window of each length can be: a list is bounded by its text.
+    per = durable(phrases.groupBy("dk", "tk").agg(F.collect_list(F.struct("start", "wid", "phrase")).alias("cands")), "decon-documents")
     texts = keyed(docs)
     if per.count() <= BROADCAST_KEYS:
         texts = texts.join(F.broadcast(per.select("dk", "tk")), ["dk", "tk"], "left_semi")
@@ -127,25 +128,31 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Da
         lambda s, x: F.struct(F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n")),
         lambda s: s["n"],
     )
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["items"]))))
-    return hits.select("dk", "tk", covered.alias("n_hit"), items.alias("items"))
+    hits = durable(hits.select("dk", "tk", covered.alias("n_hit"), F.array_distinct("hits.wid").alias("wids")), "decon-hits")
+    named = anchors.select("wid", F.explode("items").alias("item"))
+    if named.count() <= BROADCAST_TERMS:
+        named = F.broadcast(named)
+    items = hits.select("dk", "tk", F.explode("wids").alias("wid")).join(named, "wid").groupBy("dk", "tk").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return hits.select("dk", "tk", "n_hit"), durable(items, "decon-items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, items."""
-    hits = durable(occurrences(docs, benchmark), "decon-hits")
+    hits, items = occurrences(docs, benchmark)
+    hits = hits.join(items, ["dk", "tk"], "left")
     base = keyed(docs.select("doc_id", "text")).select("doc_id", "dk", "tk", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    if hits.count() <= BROADCAST_KEYS:
+    if (items.agg(F.sum(1 + F.size("items"))).first()[0] or 0) <= BROADCAST_KEYS:
         hits = F.broadcast(hits)
     return base.join(hits, ["dk", "tk"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a hit, with their columns."""
-    hits = durable(occurrences(docs, benchmark).select(F.col("dk").alias("_dk"), F.col("tk").alias("_tk")), "decon-hits")
-    key = F.xxhash64(docs["doc_id"].isNull(), F.coalesce(docs["text"], F.lit("")))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("_dk")) & (key == F.col("_tk"))
-    return docs.join(_sent(hits, BROADCAST_KEYS), same, "left_anti")
+    """The rows of docs without a hit, with their columns, of any name."""
+    hits, _ = occurrences(docs, benchmark)
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = keyed(docs.select(row.alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text")))
+    kept = rows.join(_sent(hits.select("dk", "tk"), BROADCAST_KEYS), ["dk", "tk"], "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

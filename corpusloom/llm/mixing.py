@@ -7,7 +7,7 @@ more where a hash-seeded draw falls below the rate's fraction.
 Cases: a null or empty text has size 0 and takes nothing; a null source is a
 source of its own, last in order; sources whose sizes are all 0 get target 0;
 an empty table gives an empty result; repeated rows with the same doc_id share
-one draw, so reruns and retries agree; columns of other names pass through.
+one draw, so reruns and retries agree; other columns, of any name, pass through.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import durable, table
+from corpusloom.session import durable, sent, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most a source is repeated.
@@ -59,27 +59,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
 
 
 def planned(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    targets = durable(source_targets(sized.select("source", F.col("_size").alias("size")), weights), "mix-targets")
-    targets = targets.select(F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("_of")), "inner").drop("_of").withColumn("_rate", rate)
-    extra = (draw(F.col("doc_id"), seed) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return out.withColumn("_copies", F.floor("_rate") + extra).drop("_rate")
+    """row (docs' columns), doc_id, size, source_size, target and copies of each document."""
+    row = F.struct(*[docs[c] for c in docs.columns])
+    sized = docs.select(row.alias("row"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"))
+    targets = durable(source_targets(sized.select("source", "size"), weights), "mix-targets")
+    targets = sent(targets.withColumnRenamed("source", "of"), BROADCAST_SOURCES)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    out = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "inner").withColumn("rate", rate)
+    extra = (draw(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return out.select("row", "doc_id", "size", "source_size", "target", (F.floor("rate") + extra).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    kept = planned(docs, seed, weights).where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    kept = planned(docs, seed, weights).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return planned(docs).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    found = planned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 OP8_SQL = r"""

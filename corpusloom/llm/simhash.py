@@ -17,7 +17,7 @@ three bits has such a value: one bit from x, two from y.
 Cases: a null or empty text, or one of white space, has fingerprint 0 and is
 linked like any other; null ids take part, but a component bears the smallest
 id that is not null; repeated rows share their fingerprint and component; an
-empty table gives an empty result; other columns are not touched.
+empty table gives an empty result; other columns, of any name, are not touched.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from corpusloom.llm.batches import parts
 from corpusloom.llm.components import components
-from corpusloom.session import durable, table
+from corpusloom.session import durable, sent, table
 
 SEED, WORDS, DISTANCE = 42, 3, 3
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -53,14 +53,14 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """Unsigned fingerprint of a text."""
     from xxhash import xxh64_intdigest
 
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not ws:
         return 0
-    joined = b" ".join(parts)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    joined = b" ".join(ws)
+    lengths = np.fromiter(map(len, ws), np.int64, len(ws))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    k = min(words, len(parts))
+    k = min(words, len(ws))
     ends = ends[k - 1 :]
     starts = starts[: len(ends)]
     ones, n = np.zeros(64, np.int64), len(ends)
@@ -71,7 +71,7 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x for whole in batches for x in parts(whole)):
         fp = pa.array([_signed(fingerprint(t)) for t in b.column("text").to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), fp], names=["doc_id", "text_key", "fp"])
 
@@ -99,38 +99,29 @@ def _stars(fp: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _bucket_links(limit: int):
-    """Rows sorted by (t, key) with the bucket's size n: links of buckets up to limit, and the rows of larger ones."""
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in (*batches, None):
-            if b is not None:
-                got = [b.column(i).to_numpy() for i in range(4)]
-                rest = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
-            if rest is None or not len(rest[0]):
-                continue
-            t, key, fp, n = rest
-            new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            bounds = np.concatenate(([0], new, [len(t)]))
-            hot = n > limit
-            whole = len(bounds) - 1 if b is None else len(bounds) - 2
-            out = [(int(t[i]), int(fp[i]), int(key[i])) for i in np.flatnonzero(hot)]
-            sizes = np.diff(bounds[: whole + 1])
-            first = bounds[:whole]
-            cold = ~hot[first]
-            two = first[cold & (sizes == 2)]
-            near = two[np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= DISTANCE]
-            out += [(-1, int(fp[i]), int(fp[i + 1])) for i in near]
-            for at, size in zip(first[cold & (sizes > 2)].tolist(), sizes[cold & (sizes > 2)].tolist(), strict=True):
-                out += [(-1, x, y) for x, y in _stars(fp[at : at + size])]
-            at = int(bounds[whole])
-            rest = [x[at:][~hot[at:]] for x in rest]
-            if out:
-                a = np.array(out, np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0].astype(np.int32)), pa.array(a[:, 1]), pa.array(a[:, 2])], names=["t", "a", "b"])
-
-    return links
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, key, fp) sorted by (t, key): links within each bucket."""
+    rest = None
+    for b in (*batches, None):
+        if b is not None:
+            got = [b.column(i).to_numpy() for i in range(3)]
+            rest = got if rest is None else [np.concatenate(x) for x in zip(rest, got, strict=True)]
+        if rest is None or not len(rest[0]):
+            continue
+        t, key, fp = rest
+        new = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+        bounds = np.concatenate(([0], new, [len(t)]))
+        whole = len(bounds) - 1 if b is None else len(bounds) - 2
+        sizes, first = np.diff(bounds[: whole + 1]), bounds[:whole]
+        two = first[sizes == 2]
+        near = two[np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= DISTANCE]
+        out = [(int(fp[i]), int(fp[i + 1])) for i in near]
+        for at, size in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            out += _stars(fp[at : at + size])
+        rest = [x[int(bounds[whole]) :] for x in rest]
+        if out:
+            found = np.array(out, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
 
 def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +145,11 @@ def links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (u, v) between different fingerprints of the column fp, enough to connect every component."""
     keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(MASKS)]))
     keyed = distinct.select("fp", keys.alias("k")).select("k.t", "k.key", "fp")
-    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).where("n > 1")
-    found = durable(sized.mapInArrow(_bucket_links(bucket_rows), "t int, a long, b long"), "simhash-buckets")
-    cold = found.where("t < 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    hot = found.where("t >= 0").select("t", F.col("a").alias("fp"))
-    balls = hot.mapInArrow(_balls, "t int, z long, fp long, one boolean")
+    sizes = durable(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
+    small, large = (sent(sizes.where(F.col("n") <= bucket_rows).drop("n")), sent(sizes.where(F.col("n") > bucket_rows).drop("n")))
+    dealt = keyed.join(small, ["t", "key"]).repartition("t", "key").sortWithinPartitions("t", "key")
+    cold = durable(dealt.mapInArrow(_bucket_links, "u long, v long"), "simhash-links")
+    balls = keyed.join(large, ["t", "key"]).select("t", "fp").mapInArrow(_balls, "t int, z long, fp long, one boolean")
     # A value has at most as many announcers as there are flips, 529.
     met = balls.groupBy("t", "z").agg(F.min(F.when(F.col("one"), F.col("fp"))).alias("v"), F.collect_set("fp").alias("us")).where("v is not null and size(us) > 1")
     return cold.unionAll(met.select(F.explode("us").alias("u"), "v").where("u <> v"))
@@ -183,11 +174,18 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
 
 
 def deduplicated(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that stay: one of each component of found (near_duplicates, by default). The texts are shuffled once: the join leaves them dealt by what repeated rows share."""
-    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_text_key": F.xxhash64("text")}
+    """The rows of docs that stay: one of each component of found (near_duplicates, by default).
+
+    Columns of any name pass through. Repeated rows are folded where they lie, then the texts are shuffled
+    once: the join finds them dealt by what it asks for.
+    """
     found = near_duplicates(docs) if found is None else found
-    kept = found.where("keeper").select(keys["_none"].alias("_none"), keys["_id"].alias("_id"), F.col("text_key").alias("_text_key")).distinct()
-    return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).select(*docs.columns)
+    keys = ["none", "id", "text_key"]
+    kept = found.where("keeper").select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key").distinct()
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(row, docs["doc_id"].isNull().alias("none"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("id"), F.xxhash64(docs["text"]).alias("text_key"))
+    stay = rows.dropDuplicates(keys).join(kept, keys, "left_semi")
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def hex16(fp: Column) -> Column:

@@ -12,9 +12,10 @@ Cases: vectors that are null or hold null or non-finite components take no part,
 nor do rows with a null vec_id; a candidate with the query's vec_id is its own
 row; repeated candidates count as often as they are there, repeated queries
 once; fewer than k candidates are all returned; ties go to the smaller vec_id;
-an empty table gives an empty result; vectors whose length is not the most
-common one of the queries' block are refused with an error, and so are a
-component whose integer passes 63 bits and a score of 2**62 or more.
+an empty table gives an empty result; a query meets candidates of its own length
+only, and vectors without components score 0 with each other; a component whose
+integer passes 63 bits and a score of 2**62 or more are refused with an error;
+other columns are not touched.
 """
 
 from __future__ import annotations
@@ -26,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import durable, table
+from corpusloom.session import durable, durable_parts, table
 
 K, SCALE = 10, 1024
-#: Queries that are broadcast at once (with 64 components, 2 MB).
-QUERY_BLOCK = 4096
+#: Queries that are broadcast at once (with 64 components, 4 MB).
+QUERY_BLOCK = 8192
 BINS = 256
 #: Largest score: the distance of two scores fits 63 bits.
 LARGEST = 2**62 - 1
-#: Candidates that are scored at once.
-ROWS = 2048
+#: Scores that are held at once.
+CELLS = 1 << 22
 
 
 def integers(df: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -47,10 +48,7 @@ def integers(df: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(flat) != width * len(column):
-        raise ValueError("vectors differ in length")
-    return flat.reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), width)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -68,9 +66,10 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _scores(queries: np.ndarray, ids: np.ndarray, batches: Iterator[pa.RecordBatch]):
     """(candidate ids, scores by query and candidate, which are not the query's own row)."""
+    rows = max(1, CELLS // max(1, len(ids)))
     for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            part = b.slice(at, ROWS)
+        for at in range(0, b.num_rows, rows):
+            part = b.slice(at, rows)
             own = part.column("vec_id").to_numpy()
             yield own, _product(queries, _matrix(part.column("v"), queries.shape[1])), ids[:, None] != own
 
@@ -136,20 +135,23 @@ def top_k(df: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, query
     spark = df.sparkSession
     vectors = durable(integers(df, scale), "topk-vectors")
     chosen = durable(integers(df.where(is_query), scale).groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
-    n = chosen.count()
-    out, last = None, None
-    for _ in range(0, n, query_block):
-        part = (chosen if last is None else chosen.where(F.col("vec_id") > last)).orderBy("vec_id").limit(query_block).toArrow()
-        ids = part.column("vec_id").to_numpy()
-        last = int(ids[-1])
-        queries = _matrix(part.column("v").combine_chunks(), len(part.column("v")[0]))
-        least = _thresholds(vectors, queries, ids, k)
-        best = vectors.mapInArrow(_best(queries, ids, least, k), "query_id long, vec_id long, score long")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        found = durable(best.withColumn("rank", rank).where(F.col("rank") <= k), "topk-block")
-        out = found if out is None else out.unionAll(found)
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int") if out is None else out
-    return out.select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+    def blocks() -> Iterator[DataFrame]:
+        lengths = chosen.groupBy(F.size("v").alias("length")).count().orderBy("length").collect()  # a row for each length of a vector
+        for length, n in lengths:
+            same, own = vectors.where(F.size("v") == length), chosen.where(F.size("v") == length)
+            last = None
+            for _ in range(0, n, query_block):
+                part = (own if last is None else own.where(F.col("vec_id") > last)).orderBy("vec_id").limit(query_block).toArrow()
+                ids = part.column("vec_id").to_numpy()
+                last = int(ids[-1])
+                queries = _matrix(part.column("v").combine_chunks(), length)
+                least = _thresholds(same, queries, ids, k)
+                best = same.mapInArrow(_best(queries, ids, least, k), "query_id long, vec_id long, score long")
+                yield best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    return durable_parts(blocks(), spark, "query_id long, rank int, vec_id long, score long", "topk-found")
 
 
 def op6_topk(spark, sf_dir: str) -> DataFrame:

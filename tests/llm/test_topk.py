@@ -11,7 +11,7 @@ def brute(rows, k, ids):
     out = []
     for q in sorted({i for i, _ in ok if i in ids}):
         v = min(v for i, v in ok if i == q)
-        best = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in ok if i != q)[:k]
+        best = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in ok if i != q and len(c) == len(v))[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return out
 
@@ -39,6 +39,14 @@ def test_large_components(spark):
             topk.top_k(spark.createDataFrame([(0, [large]), (1, [large])], schema), topk.F.col("vec_id") == 0).collect()
 
 
+def test_vectors_of_several_lengths(spark):
+    r = random.Random(6)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(r.choice([0, 1, 2, 5]))]) for i in range(200)] + [(400, [0.5] * 9)]
+    df = spark.createDataFrame([(*x, x[0]) for x in rows], "vec_id long, embedding array<double>, query_id long").repartition(3)
+    got = topk.top_k(df, topk.F.col("vec_id") % 10 == 0, query_block=3).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10, set(range(0, 500, 10)))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     assert topk.top_k(df.where("false"), topk.F.lit(True)).count() == 0

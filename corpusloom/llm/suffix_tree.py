@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import parts
 from corpusloom.session import durable, table
 
 DEPTH = 6
@@ -111,7 +112,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(inverse, np.concatenate(grams["n"]).astype(np.float64), len(code)).astype(np.int64)
             grams["code"], grams["n"] = [code], [n]
 
-    for b in batches:
+    for b in (x for whole in batches for x in parts(whole)):
         for t in b.column("text").to_pylist():
             w = tokens(t)
             words.update(w)
@@ -424,28 +425,20 @@ def _part_scored(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, texts in _parts(b):
+            for part in parts(b, SCORED):
+                texts = part.column("text").to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.value.scores([symbols(tokens(t)) for t in texts]), pa.float64())], names=["row", "score"])
 
     return run
 
 
-def _parts(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of about SCORED symbols, or one text, with their texts."""
-    texts, first, size = b.column("text").to_pylist(), 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SCORED or i == len(texts) - 1:
-            yield b.slice(first, i + 1 - first), texts[first : i + 1]
-            first, size = i + 1, 0
-
-
 def _scored(model, words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, hot = model.value, words.value
         logs = {w: math.log10(c + 0.5) for w, c in hot.items()}
         for b in batches:
-            for part, texts in _parts(b):
+            for part in parts(b, SCORED):
+                texts = part.column("text").to_pylist()
                 n, known, base, cold, streams = [], [], [], [], []
                 for t in texts:
                     w = tokens(t)

@@ -26,7 +26,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,8 +37,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import parts
 from corpusloom.llm.rans import EVERY, LANES, Coder, quantized
-from corpusloom.session import durable, shared_dir, table
+from corpusloom.session import durable, shared_path, table
 
 #: Ids in a block, but for its last document.
 BLOCK = 1 << 19
@@ -47,8 +47,8 @@ END_ID = 1
 #: Pieces in one of the two generations that a worker keeps: about 200 bytes each.
 CACHE = 600_000
 PIECE = 64
-#: Characters of the documents that are encoded in one go (or one document): their different pieces are looked up once.
-CHARS = 1 << 24
+#: Bytes of the documents that are encoded in one go (or one document): their different pieces are looked up once.
+CHARS = 1 << 23
 
 TEMP = "shard int, block int, doc_ids array<long>, doc_lens array<int>, ids binary, counts array<struct<id:int,n:long>>"
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, doc_lens array<int>, words binary, checkpoints array<struct<step:int,offset:int,states:binary>>, words_crc32 long, ids_crc32 long"
@@ -132,8 +132,8 @@ class Encoder:
         if self.simple:  # A-Z only
             lowered = pc.ascii_lower(made)
             made = pc.if_else(pc.match_substring(made, "<|"), made, lowered)
-        parts = pc.split_pattern(pc.replace_substring(made, "\n", " "), " ")
-        words = parts.flatten().dictionary_encode()
+        cut = pc.split_pattern(pc.replace_substring(made, "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
         codes = list(map(self.pieces.__getitem__, words.dictionary.to_pylist()))
         width = array(self.kind).itemsize
         sizes = np.fromiter(map(len, codes), np.int32, len(codes)) // width
@@ -150,7 +150,7 @@ class Encoder:
         at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[which] - (ends - n)).astype(np.int32 if len(ends) and ends[-1] < 1 << 31 and len(ids) < 1 << 31 else np.int64), n)
         at += np.arange(len(at), dtype=at.dtype)
         data = ids[at].tobytes()
-        cuts = (np.append(0, ends)[parts.offsets.to_numpy() - parts.offsets[0].as_py()] * width).tolist()
+        cuts = (np.append(0, ends)[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * width).tolist()
         return [data[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
@@ -188,22 +188,16 @@ def _tokenized(path: str, end_id: int, split_safe: bool, block: int, pieces: int
                 names=["shard", "block", "doc_ids", "doc_lens", "ids", "counts"],
             )
 
-        for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= chars):
-                    size, to = size + len(texts[to]), to + 1
-                for name, code in zip(names[at:to], encoder.encode(texts[at:to]), strict=True):
-                    ids += [code, end]
-                    docs.append(name)
-                    lens.append(len(code) // width + 1)
-                    held += lens[-1]
-                    if held >= block:
-                        yield row()
-                        number, docs, lens, ids, held = number + 1, [], [], [], 0
-                at = to
+        for b in (x for whole in batches for x in parts(whole, chars)):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for name, code in zip(b.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                ids += [code, end]
+                docs.append(name)
+                lens.append(len(code) // width + 1)
+                held += lens[-1]
+                if held >= block:
+                    yield row()
+                    number, docs, lens, ids, held = number + 1, [], [], [], 0
         if docs:
             yield row()
 
@@ -316,7 +310,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 def tokenized(docs: DataFrame, pieces: int = CACHE, chars: int = CHARS) -> DataFrame:
     """Writes docs in the shared folder and reads the files back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = shared_path(spark, "tokens")
     write_tokens(docs, path, pieces=pieces, chars=chars)
     return read_tokens(spark, path)
 

@@ -9,47 +9,43 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Tree = tuple[int, tuple[int, float, float], tuple[int, float, float]]
 
 
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
-
-
-def _split(rows: list, features: int, floor: float) -> tuple[float, int, float, float]:
-    """The best (gain, feature, leaf where it is 0, leaf where it is 1)."""
-    best = (-1.0, 0, 0.0, 0.0)
-    for f in range(features):
-        g, h = [0.0, 0.0], [floor, floor]
-        for bits, _, _, gr, he in rows:
-            g[bits >> f & 1] += gr
-            h[bits >> f & 1] += he
-        gain = g[0] ** 2 / h[0] + g[1] ** 2 / h[1]
-        if gain > best[0] + 1e-12:
-            best = (gain, f, g[0] / h[0], g[1] / h[1])
-    return best
+def _best(g: np.ndarray, h: np.ndarray) -> tuple[float, int, float, float]:
+    """The best (gain, feature, leaf where it is 0, leaf where it is 1); g, h: sums of gradients by feature and value."""
+    gains = (g * g / h).sum(1)
+    f = int(np.flatnonzero(gains >= gains.max() - 1e-12)[0])
+    return float(gains[f]), f, float(g[f, 0] / h[f, 0]), float(g[f, 1] / h[f, 1])
 
 
 def boosted(counts: list[tuple[int, int, int]], features: int, rounds: int = 30, rate: float = 0.3, floor: float = 1.0) -> tuple[float, list[Tree]]:
     """counts: (bits, label, n). The start score and the trees (root feature, its 0 side, its 1 side)."""
-    yes, every = sum(n for _, y, n in counts if y), sum(n for _, _, n in counts)
+    bits, y, n = (np.array(x, np.float64) for x in zip(*sorted(counts), strict=True)) if counts else (np.zeros(0),) * 3
+    on = (bits.astype(np.int64)[:, None] >> np.arange(features) & 1).astype(np.float64)
+    yes, every = float(n[y > 0].sum()), float(n.sum())
     start = math.log((yes + 0.5) / (every - yes + 0.5))
     trees: list[Tree] = []
-    scores = {b: start for b, _, _ in counts}
+    scores = np.full(len(bits), start)
     for _ in range(rounds if every else 0):
-        rows = [(b, y, n, n * (y - (p := _sigmoid(scores[b]))), n * p * (1 - p)) for b, y, n in sorted(counts)]
-        root = max(range(features), key=lambda f: sum(_split([r for r in rows if (r[0] >> f & 1) == v], features, floor)[0] for v in (0, 1)))
-        sides = []
-        for v in (0, 1):
-            _, f, zero, one = _split([r for r in rows if (r[0] >> root & 1) == v], features, floor)
-            sides.append((f, rate * zero, rate * one))
-        trees.append((root, sides[0], sides[1]))
-        for b in scores:
-            f, zero, one = sides[b >> root & 1]
-            scores[b] += one if b >> f & 1 else zero
+        p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        # Sums of the rows that have both features, of those that have one, and of all.
+        found = []
+        for own in (n * (y - p), n * p * (1 - p)):
+            both, one, total = on.T @ (on * own[:, None]), on.T @ own, own.sum()
+            have = np.stack([one[:, None] - both, both], 2)  # root 1: child 0, child 1
+            lack = np.stack([total - one[:, None] - one[None, :] + both, one[None, :] - both], 2)  # root 0
+            found.append((lack, have))
+        sides = [[_best(found[0][v][r], found[1][v][r] + floor) for v in (0, 1)] for r in range(features)]
+        root = max(range(features), key=lambda r: sides[r][0][0] + sides[r][1][0])
+        zero, one = ((f, rate * a, rate * b) for _, f, a, b in sides[root])
+        trees.append((root, zero, one))
+        leaf = lambda s: np.where(on[:, s[0]] > 0, s[2], s[1])
+        scores += np.where(on[:, root] > 0, leaf(one), leaf(zero))
     return start, trees
 
 

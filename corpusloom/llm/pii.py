@@ -1,13 +1,17 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
 Base spans (emails, addresses, card and phone numbers that pass their checks)
-always count. High-recall generators propose further spans, which may overlap;
-bits for their format and for the words before them are the features of boosted
-trees. The trees learn from this corpus: a candidate that overlaps a base span is
-an example of 1, one that a base pattern matched (nine tenths of it, at least)
-and its check refused is an example of 0, others are unlabelled. Rows with crc32(doc_id) mod 5 = 0 are kept
-out of the fit, and set the score from which on PRECISION of the examples are 1.
-Unlabelled candidates from that score on, apart from base spans, are added.
+always count. High-recall generators propose spans, which may overlap: contacts
+(also spelt out), network addresses (also IPv6), digit groups of any length and
+account numbers. Bits for a candidate's format and for the words around it are
+the features of boosted trees; the base checks themselves (Luhn, 255, numbers of
+digits) are not among them. The trees learn from this corpus: a candidate that
+overlaps a base span is an example of 1, one that a base pattern matched (nine
+tenths of it, at least) and its check refused is an example of 0; the others,
+which the base cannot judge, are unlabelled. Rows with crc32(doc_id) mod 5 = 0 are
+kept out of the fit, and set the score from which on PRECISION of the examples
+are 1. Candidates of any kind from that score on are added, but for those that
+overlap a base span.
 
 Cases: a null or empty text has no spans; texts are read whole; with no examples
 of both kinds nothing is added; null and repeated doc_ids do no harm; an empty
@@ -33,14 +37,16 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-RANKS = {"email": 0, "ip": 1, "card": 2, "phone": 3, "contact": 4, "address": 5, "number": 6}
+RANKS = {"email": 0, "ip": 1, "card": 2, "phone": 3, "contact": 4, "address": 5, "number": 6, "account": 7}
 #: Generators.
 LOOSE = {
-    "contact": r"(?i)\b[a-z0-9._%+-]{1,64}+(?:@|\x20?[\[(]\x20?at\x20?[\])]\x20?)[a-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[a-z0-9-]{1,63}+)++",
-    "address": r"(?<![0-9A-Fa-f.:])(?:[0-9]{1,3}(?:[.][0-9]{1,3}){3,5}+|(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f.:])",
-    "number": r"\+?+\(?+[0-9](?:[\x20().-]{0,2}+[0-9]){6,40}+",
+    "contact": r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++(?:@|\x20?+[\[(]\x20?+at\x20?+[\])]\x20?+|\x20at\x20)[a-z0-9-]++(?:(?:\.|\x20?+[\[(]\x20?+dot\x20?+[\])]\x20?+|\x20dot\x20)[a-z0-9-]++)++",
+    "address": r"(?<![0-9A-Fa-f.:])(?:[0-9]++(?:\.[0-9]++){3,}+|(?:[0-9A-Fa-f]{1,4}+:){5,7}+[0-9A-Fa-f]{1,4}+|(?:[0-9A-Fa-f]{1,4}+:){1,7}+(?::[0-9A-Fa-f]{1,4}+){1,7}+)(?![0-9A-Fa-f.:])",
+    "number": r"\+?+\(?+[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]{4}){2,7}+(?:\x20?+[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
 }
-WORDS = (r"mail|contact|correo|courriel", r"phone|tel|call|fax|mobile|anruf", r"card|visa|credit|iban|pay|konto|carte|tarjeta", r"\bip\b|host|server|addr", r"version|order|invoice|page|isbn|build|serial|fig")
+PERSONAL = r"mail|contact|correo|courriel|phone|tel|call|fax|mobile|anruf|card|visa|credit|iban|account|pay|konto|carte|tarjeta|\bip\b|host|server|addr"
+OTHER = r"version|order|invoice|page|isbn|build|serial|fig|total|item"
 FEATURES = 16
 
 
@@ -68,20 +74,25 @@ CHECKS = {"email": lambda m: F.lit(True), "ip": _quad, "card": _card, "phone": l
 
 
 def _bits(kind: str, x: Column) -> Column:
+    """Format and context of a candidate, FEATURES bits."""
     m, before = x["m"], F.lower(x["before"])
-    d = digits(m)
+    n = F.length(digits(m))
     flags = [
+        F.lit(kind == "contact"),
+        F.lit(kind == "address"),
+        F.lit(kind == "account"),
         F.contains(m, F.lit("@")),
-        m.rlike(r"\.[A-Za-z]{2,}$"),
-        m.rlike(r"(?i)[\[(]\x20?(?:at|dot)"),
         F.startswith(m, F.lit("+")),
-        F.length(d).between(10, 15),
-        F.length(d).between(14, 19),
-        F.lit(kind == "number") & _card(m),
-        F.lit(kind == "address") & m.rlike(r"^[0-9.]+$") & _quad(m),
-        m.rlike(r"[()]"),
-        m.rlike(r"[\x20.-]"),
-        *[before.rlike(w) for w in WORDS],
+        m.rlike(r"[()\[\]]"),
+        m.rlike(r"[\x20-]"),
+        F.contains(m, F.lit(":")),
+        n >= 8,
+        n >= 12,
+        n >= 16,
+        F.regexp_count(m, F.lit("[0-9]+")) >= 4,
+        m.rlike(r"[A-Za-z]{2,}$"),
+        before.rlike(PERSONAL),
+        before.rlike(OTHER),
         before.rlike(r"[A-Za-z0-9_]$") | x["after"].rlike(r"[A-Za-z0-9_]"),
     ]
     out = F.lit(0)
@@ -131,14 +142,14 @@ def fitted(rows: DataFrame) -> tuple[float, list, float]:
 
 
 def personal(docs: DataFrame) -> DataFrame:
-    """doc_id, a column of tagged spans for each base kind, and added: the spans that the trees select."""
+    """doc_id, a column of tagged spans for each base kind, and added: the spans that the trees select, apart from base spans."""
     rows = scanned(docs)
     start, trees, least = fitted(rows)
-    chosen = F.filter("candidates", lambda x: x["label"].isNull() & (score(x["bits"], start, trees) >= F.lit(least)))
+    chosen = F.filter("candidates", lambda x: ~x["label"].eqNullSafe(F.lit(1)) & (score(x["bits"], start, trees) >= F.lit(least)))
     return rows.select("doc_id", *BASE, F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e"), x["kind"].alias("kind"))).alias("added"))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     found = personal(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(F.concat(*BASE)), 256).alias("base_sha256"), joined(F.concat(*BASE, "added")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.concat(*BASE)), 256).alias("base_sha256"), joined(F.concat(*BASE, "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

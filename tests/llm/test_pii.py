@@ -1,6 +1,8 @@
+import collections
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 
@@ -51,6 +53,55 @@ def test_added_spans(spark):
     assert got[901].added == [] and all(got[i].added == [] for i in range(400))
 
 
+def bits(kind, m, before, after):
+    d, low = len(re.sub("[^0-9]", "", m)), before.lower()
+    flags = [kind == "contact", kind == "address", kind == "account", "@" in m, m.startswith("+"), bool(re.search(r"[()\[\]]", m)), bool(re.search(r"[\x20-]", m)), ":" in m, d >= 8, d >= 12, d >= 16,
+             len(re.findall("[0-9]+", m)) >= 4, bool(re.search("[A-Za-z]{2,}$", m)), bool(re.search(pii.PERSONAL, low)), bool(re.search(pii.OTHER, low)), bool(re.search("[A-Za-z0-9_]$", low) or re.match("[A-Za-z0-9_]", after))]
+    return sum(1 << i for i, f in enumerate(flags) if f)
+
+
+def all_spans(rows):
+    """The spans column of each row by brute force: candidates, labels, the trees of the training rows and their threshold."""
+    tried = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    found, counts = [], []
+    for i, t in rows:
+        t = t or ""
+        good, cands = base(t), []
+        every = [(m.start(), m.end()) for p in tried.values() for m in re.finditer(p, t)]
+        for k, p in pii.LOOSE.items():
+            for m in re.finditer(p.replace("(?:\\G|(?<![a-z0-9._%+-]))", ""), t):
+                s, e = m.span()
+                label = 1 if any(s < y and x < e for x, _, y, _ in good) else 0 if any((min(e, y) - max(s, x)) * 10 >= (e - s) * 9 for x, y in every) else None
+                cands.append((s, pii.RANKS[k], e, k, bits(k, m[0], t[max(0, s - pii.CONTEXT) : s], t[e : e + 1]), label))
+        found.append((i, good, cands))
+        counts += [(zlib.crc32(str(i).encode()) % 5 == 0, c[4], c[5]) for c in cands if c[5] is not None]
+    fit = collections.Counter((b, y) for out, b, y in counts if not out)
+    start, trees = boosting.boosted([(*k, n) for k, n in fit.items()], pii.FEATURES)
+    held = collections.Counter((b, y) for out, b, y in counts if out)
+    least = boosting.threshold([(*k, n) for k, n in held.items()], start, trees, pii.PRECISION)
+    out = {}
+    for i, good, cands in found:
+        more = [c[:4] for c in cands if c[5] != 1 and boosting.score_of(c[4], start, trees) >= least]
+        out[i] = ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(good + more))
+    return out
+
+
+def test_spans_against_brute_force(spark, tmp_path):
+    r = random.Random(12)
+    rows = [(i, f"call +1 ({i:03}) 555-{1000 + i} or mail u{i}@mail.example.com, host 10.1.{i % 256}.7") for i in range(300)]
+    rows += [(i, f"order {4111111111111112 + 10 * i} of 300.1.1.{i}") for i in range(300, 500)]
+    more = ["mail jo [at] ex (dot) com", "write to ann at ex dot org", "host 2001:db8:0:1:2:3:4:5 up", "fe80::1:2", "iban DE89 3704 0044 0532 0130 00 now", "(555) 123-4567", "order 12345678", "10.0.0.1.5", "a:b", "version 1.2.3.4", "x@y"]
+    rows += [(i, " ; ".join(r.choices(more, k=r.randint(1, 6)))) for i in range(600, 760)] + [(800, None), (801, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op9_pii(spark, str(tmp_path)).collect()
+    want = all_spans(rows)
+    assert {x.doc_id: x.spans for x in got} == want
+    assert sum(x.n_added for x in got) > 0
+    texts = dict(rows)
+    added = [texts[x.doc_id][int(s[1]) : int(s[2])] for x in got for s in (y.split(":") for y in x.spans.split(",") if y) if s[0] in pii.LOOSE]
+    assert {"jo [at] ex (dot) com", "ann at ex dot org"} <= {*added} and "12345678" not in added
+
+
 def test_empty(spark):
     assert pii.personal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

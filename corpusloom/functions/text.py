@@ -46,14 +46,23 @@ def h60(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def count_without(text: Column, others: str) -> Column:
+    """How many characters are left without the runs of `others`; cheaper than one match for each that counts."""
+    return F.length(F.regexp_replace(text, others, ""))
+
+
+def count_of(text: Column, chars: str) -> Column:
+    """How many characters of a bracketed class there are."""
+    return count_without(text, f"[^{chars[1:]}+")
+
+
 def profile(text: Column) -> Column:
     """Counts by script over characters that are not white space, and the shares taken from them."""
-    n = lambda p: F.regexp_count(text, F.lit(p))
-    hangul, latin, han = n(HANGUL), n("[A-Za-z]"), n(HAN)
-    kana = n(r"[぀-ヿ]")
-    marks = n(r"[\p{N}\p{P}\p{S}]")
-    total = n(r"(?U)[^\s]")
-    letters = n(r"\p{L}")
+    hangul, latin, han = (count_of(text, c) for c in (HANGUL, "[A-Za-z]", HAN))
+    kana = count_of(text, r"[぀-ヿ]")
+    marks = count_of(text, r"[\p{N}\p{P}\p{S}]")
+    total = count_without(text, r"(?U)\s+")
+    letters = count_without(text, r"\P{L}+")
     return F.struct(
         hangul.alias("hangul"), latin.alias("latin"), han.alias("han"), kana.alias("kana"), marks.alias("digits_punct"), letters.alias("letters"), total.alias("total"),
         share(hangul, letters).alias("hangul_share"), share(latin, letters).alias("latin_share"), share(letters, total).alias("letter_share"),
@@ -62,11 +71,11 @@ def profile(text: Column) -> Column:
 
 def detect_script(text: Column, fallback: Column) -> Column:
     """Language by script: Hangul or kana over 8 % of what counts, then Han against Latin, else the fallback."""
-    n = lambda p: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p))
+    n = lambda p: count_of(F.coalesce(text, F.lit("")), p)
     hangul = n(r"[\p{InHANGUL_SYLLABLES}\p{InHANGUL_JAMO}\p{InHANGUL_COMPATIBILITY_JAMO}]")
     kana = n(r"[\p{InHIRAGANA}\p{InKATAKANA}]")
     han = n(r"[\p{InCJK_UNIFIED_IDEOGRAPHS}\p{InCJK_UNIFIED_IDEOGRAPHS_EXTENSION_A}]")
-    latin = n(r"[\p{InBASIC_LATIN}\p{InLATIN_1_SUPPLEMENT}&&\p{L}]")
+    latin = n(r"[A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
     total = hangul + kana + han + latin
     return (
         F.when(total == 0, fallback)
@@ -91,6 +100,22 @@ def lang_from_code(code: Column) -> Column:
     return F.try_element_at(known, head)
 
 
+def from_code_or(code: Column, other: str) -> Column:
+    return F.coalesce(lang_from_code(code), F.lit(other))
+
+
+def user_facing_or(code: Column, other: str) -> Column:
+    """The language of a code if users see it, else the other."""
+    seen = lang_from_code(code)
+    return F.when(seen.isin(*[k for k, (_, _, shown) in LANGS.items() if shown]), seen).otherwise(other)
+
+
+def display_name(lang: Column) -> Column:
+    """English alone bears one name; the others have their own in brackets."""
+    names = {k: english if k == "en" else f"{english} ({native})" for k, (english, native, _) in LANGS.items()}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), lang)
+
+
 def title(text: Column, most: int = 60) -> Column:
     """The first line of the trimmed text, cut after `most` characters."""
     t = F.trim(F.coalesce(text, F.lit("")))

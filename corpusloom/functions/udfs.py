@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as t
-from corpusloom.functions.values import DROPPABLE_FINALS, INITIAL_PAIRS, LATIN_CONFUSIONS, NOISE_WEIGHTS, VOWEL_PAIRS
+from corpusloom.functions.values import DROPPABLE_FINALS, FUSE_RATE, HANGUL_WEIGHTS, INITIAL_PAIRS, LATIN_CONFUSIONS, NOISE_WEIGHTS, VOWEL_PAIRS
 
 
 @F.pandas_udf(T.StringType())
@@ -78,8 +78,8 @@ def segmenter(scores: dict[str, float]):
     return run
 
 
-def _paired(i: int, pairs) -> int | None:
-    return next((b if i == a else a for a, b in pairs if i in (a, b)), None)
+def _paired(i: int, pairs) -> int:
+    return next((b if i == a else a for a, b in pairs if i in (a, b)), i)
 
 
 def _hangul(text: str, r: random.Random) -> str:
@@ -89,20 +89,22 @@ def _hangul(text: str, r: random.Random) -> str:
     i = r.choice(at)
     code = ord(text[i]) - 0xAC00
     first, vowel, last = code // 588, code % 588 // 28, code % 28
-    ways = [(first, v, last) for v in [_paired(vowel, VOWEL_PAIRS)] if v is not None]
-    ways += [(f, vowel, last) for f in [_paired(first, INITIAL_PAIRS)] if f is not None]
-    ways += [(first, vowel, 0)] if last in DROPPABLE_FINALS else []
-    if not ways:
-        return text
-    f, v, e = r.choice(ways)
-    return text[:i] + chr(0xAC00 + (f * 21 + v) * 28 + e) + text[i + 1 :]
+    part = r.choices(list(HANGUL_WEIGHTS), list(HANGUL_WEIGHTS.values()))[0]
+    if part == "vowel":
+        vowel = _paired(vowel, VOWEL_PAIRS)
+    elif part == "initial":
+        first = _paired(first, INITIAL_PAIRS)
+    elif last in DROPPABLE_FINALS:
+        last = 0
+    return text[:i] + chr(0xAC00 + (first * 21 + vowel) * 28 + last) + text[i + 1 :]
 
 
 def _latin(text: str, r: random.Random) -> str:
-    there = [(m.start(), a, b) for a, b in LATIN_CONFUSIONS for m in re.finditer(re.escape(a), text)]
+    there = [p for p in LATIN_CONFUSIONS if p[0] in text]
     if not there:
         return text
-    i, a, b = r.choice(there)
+    a, b = r.choice(there)
+    i = r.choice([m.start() for m in re.finditer(f"(?={re.escape(a)})", text)])
     return text[:i] + b + text[i + len(a) :]
 
 
@@ -110,12 +112,12 @@ def _fuse(text: str, r: random.Random) -> str:
     at = [i for i, c in enumerate(text) if c == " "]
     if not at:
         return text
-    gone = {i for i in at if r.random() < 0.3} or {r.choice(at)}
+    gone = {i for i in at if r.random() < FUSE_RATE} or {r.choice(at)}
     return "".join(c for i, c in enumerate(text) if i not in gone)
 
 
 def _split(text: str, r: random.Random) -> str:
-    at = [i for i in range(2, len(text) - 1) if text[i - 2 : i + 2].isalpha()]
+    at = [i for i in range(1, len(text)) if text[i - 1 : i + 1].isalnum()]
     return text if not at else (lambda i: f"{text[:i]} {text[i:]}")(r.choice(at))
 
 
@@ -136,7 +138,7 @@ def noised(text: str, lang: str, seed: str, probability: float = 1.0, most: int
     r = random.Random(seed)
     if r.random() >= probability:
         return text
-    weights = NOISE_WEIGHTS["ko" if lang == "ko" else "en"]
+    weights = NOISE_WEIGHTS["en" if lang == "en" else "ko"]
     for name in r.choices(list(weights), list(weights.values()), k=r.randint(1, most)):
         text = NOISES[name](text, r)
     return text

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,3 +89,30 @@ def least_rectangle(points: list[tuple[float, float]]) -> tuple[float, list[tupl
         if (c - a) * (d - b) < best[0]:
             best = ((c - a) * (d - b), [tuple(map(float, p @ turn)) for p in np.array([[a, b], [c, b], [c, d], [a, d]])])
     return best
+
+
+BOXES = "map_id long, seed int, size int, score double, area double, corners array<double>"
+
+
+def map_boxes(maps: DataFrame, threshold: float = 0.3, least: int = 12, score: float = 0.6) -> DataFrame:
+    """maps (map_id, width, height, cells: flat probabilities) to a row for each region that passes: its first cell, cells, mean, and smallest rectangle.
+
+    A map is one row and is read in one task. A region's hull is taken over the ends of its rows of cells.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                for mean, cells in components(r["cells"], r["width"], r["height"], threshold, least, score):
+                    ends = {}
+                    for x, y in cells:
+                        low, high = ends.get(y, (x, x))
+                        ends[y] = min(low, x), max(high, x)
+                    area, corners = least_rectangle([(x, y) for y, both in ends.items() for x in both])
+                    seed = min(y * r["width"] + x for x, y in cells)
+                    out.append({"map_id": r["map_id"], "seed": seed, "size": len(cells), "score": mean, "area": float(area) if corners else 0.0, "corners": [c for p in corners for c in p]})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("map_id", pa.int64()), ("seed", pa.int32()), ("size", pa.int32()), ("score", pa.float64()), ("area", pa.float64()), ("corners", pa.list_(pa.float64()))]))
+
+    rows = maps.select(F.col("map_id").cast("long").alias("map_id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.col("cells").cast("array<double>").alias("cells"))
+    return rows.mapInArrow(run, BOXES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.functions import values as v
+from corpusloom.session import durable
 
 
 def quad_metrics(q: Column) -> dict[str, Column]:
@@ -26,6 +27,16 @@ def unclip_distance(area: Column, perimeter: Column, ratio: float = 1.6) -> Colu
     return F.when(perimeter > 0, area * ratio / perimeter).otherwise(F.lit(0.0))
 
 
+def ranked(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their rank from 1 by order: a range sort, then each partition's count before it. No task holds all rows."""
+    rows = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    out = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+
+
 def islands(rows: DataFrame, by: list[str], order: list[Column], new: Column, name: str = "island") -> DataFrame:
     """Numbers runs of rows from 1; new (an expression over lag) starts a run."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -66,10 +77,17 @@ def reading_order(lines: DataFrame) -> DataFrame:
     return banded.withColumn("pos", pos).drop("_c", "_h", "_l", "_n")
 
 
-def upper_median(x: Column) -> Column:
-    """Aggregate: the upper of the two middle values."""
-    every = F.sort_array(F.collect_list(x))
-    return F.get(every, F.floor(F.size(every) / 2).cast("int"))
+def upper_median(rows: DataFrame, by: str, x: str) -> DataFrame:
+    """by and upper_median, the upper of x's two middle values. Equal values are counted first, so that a group's window is over its different ones."""
+    counts = rows.groupBy(by, x).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(by)
+    ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(x))).withColumn("_all", F.sum("_n").over(w))
+    return ranked.where("_upto > _all div 2").groupBy(by).agg(F.min(x).alias("upper_median"))
+
+
+def line_widths(lines: DataFrame, by: list[str]) -> DataFrame:
+    """by and width: the widest line, along its own base line."""
+    return lines.groupBy(*by).agg(F.max(quad_metrics(F.col("quad"))["width"]).alias("width"))
 
 
 def join_lines(lines: Column) -> Column:
@@ -104,8 +122,15 @@ def redistribute(text: Column, lengths: Column, strict: bool = False) -> Column:
 
 
 def batches(rows: DataFrame, size: int, *order: Column) -> DataFrame:
-    """rows with batch from 0: consecutive slices of `size` by order. The ranks come from one sort; feed it bounded groups."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    """rows with batch from 0: consecutive slices of `size` by order."""
+    return ranked(rows, "batch", *order).withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))
+
+
+def aspect_batches(rows: DataFrame, by: list[str], ratio: str, *order: Column, size: int = 6) -> DataFrame:
+    """rows with batch (from 0, within by, by ascending ratio) and the width that its widest is padded to."""
+    w = Window.partitionBy(*by)
+    out = rows.withColumn("batch", F.floor((F.row_number().over(w.orderBy(ratio, *order)) - 1) / size).cast("long"))
+    return out.withColumn("padded", padded_width(F.max(ratio).over(Window.partitionBy(*by, "batch"))))
 
 
 def padded_width(most: Column) -> Column:

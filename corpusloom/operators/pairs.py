@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.functions import values as v
+from corpusloom.session import durable
 
 LATIN = r"[A-Za-z]+"
 
@@ -64,7 +65,8 @@ def keep_first(rows: DataFrame, key: str, *order: Column, where: Column | None =
     """rows with is_first: the first of its key by order, among those where holds; copies beyond it are False, rows outside null.
 
     The least order per key is aggregated (map-side first) and joined back, so
-    that a key with a third of all rows meets in no window.
+    that a key with a third of all rows meets in no window. rows are read twice:
+    they should be a table, with a hash for a key that is long.
     """
     mark = F.struct(*order)
     live = rows.withColumn("_mark", F.when(where if where is not None else F.lit(True), mark))
@@ -86,14 +88,15 @@ def first_n(rows: DataFrame, by: str, n: int, *order: Column) -> DataFrame:
 
 def outcomes(docs: DataFrame, benchmark: DataFrame, max_chars: int = 20_000) -> DataFrame:
     """docs (doc_id, text, source) with one outcome each: empty, too_long, not_text, in_eval_set, duplicate or kept."""
-    rows = docs.select("doc_id", "source", t.clean(F.col("text")).alias("text"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    texts = docs.select("doc_id", "source", t.clean(F.col("text")).alias("text"))
     n = F.length("text")
-    shares = t.share(F.regexp_count("text", F.lit(r"\p{L}")), F.regexp_count("text", F.lit(r"[^ ]")))
-    rows = rows.withColumn("rule", F.when(n < 1, "empty").when(n > max_chars, "too_long").when(shares < v.MIN_LETTER_SHARE, "not_text"))
+    shares = t.share(t.count_without(F.col("text"), r"\P{L}+"), F.length(F.replace("text", F.lit(" "), F.lit(""))))
+    rule = F.when(n < 1, "empty").when(n > max_chars, "too_long").when(shares < v.MIN_LETTER_SHARE, "not_text")
+    rows = durable(texts.select("doc_id", "source", rule.alias("rule"), F.md5(t.squash(F.col("text"))).alias("key")), "outcome-rows")
     held = benchmark.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(t.clean(F.col("line")).alias("line")).where("line <> ''").distinct()
-    lines = rows.select("doc_id", F.explode("lines").alias("line")).select("doc_id", t.clean(F.col("line")).alias("line"))
+    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select("doc_id", t.clean(F.col("line")).alias("line"))
     hit = lines.join(held, "line", "left_semi").select(F.col("doc_id").alias("_hit")).distinct()
-    rows = rows.drop("lines").join(hit, F.col("doc_id") == F.col("_hit"), "left").withColumn("key", t.squash(F.col("text")))
+    rows = durable(rows.join(hit, F.col("doc_id") == F.col("_hit"), "left"), "outcome-hits")
     live = F.col("rule").isNull() & F.col("_hit").isNull()
     rank = F.try_to_number(F.regexp_replace("source", "[^0-9]", ""), F.lit("999999")).cast("int")
     rows = keep_first(rows, "key", F.coalesce(rank, F.lit(0)).alias("rank"), F.col("source"), F.col("doc_id"), where=live)

@@ -6,10 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.values import LANGS
+from corpusloom.operators.layout import ranked
 
 # Files of a directed pair.
 PAIR_FILES = ("encoder.onnx", "decoder.onnx", "source.spm.tsv", "vocab.tsv", "config.json")
 
+# Directed pairs, in order, and the published models they are made from.
+PAIR_MODELS = (
+    ("en", "ko", "Helsinki-NLP/opus-mt-tc-big-en-ko"), ("ko", "en", "Helsinki-NLP/opus-mt-ko-en"), ("en", "ja", "Helsinki-NLP/opus-mt-en-jap"),
+    ("ja", "en", "Helsinki-NLP/opus-mt-ja-en"), ("en", "zh", "Helsinki-NLP/opus-mt-en-zh"), ("zh", "en", "Helsinki-NLP/opus-mt-zh-en"),
+)
+
 
 def languages(spark: SparkSession) -> DataFrame:
     rows = [(i, k, e, n, u) for i, (k, (e, n, u)) in enumerate(LANGS.items())]
@@ -21,6 +28,10 @@ def directed_pairs(langs: DataFrame) -> DataFrame:
     return a.join(b, F.col("src") != F.col("tgt")).withColumn("pair", F.concat_ws("-", "src", "tgt"))  # a few fixed languages
 
 
+def pair_models(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *p) for i, p in enumerate(PAIR_MODELS)], "rank int, src string, tgt string, model string")
+
+
 def routes(pairs: DataFrame) -> DataFrame:
     """From pairs (src, tgt) that are there: every route, direct where possible, else over English."""
     one = pairs.select("src", "tgt", F.lit("direct").alias("route"))
@@ -36,6 +47,11 @@ def required_files(langs: DataFrame) -> DataFrame:
     return files.select("src", "tgt", "pair", F.concat_ws("/", F.lit("mt"), "pair", "file").alias("path"))
 
 
+def existing(paths: DataFrame, present: DataFrame) -> DataFrame:
+    """The paths (path) that are among those present."""
+    return paths.join(present.select("path").distinct(), "path", "left_semi")
+
+
 def missing_files(required: DataFrame, present: DataFrame) -> DataFrame:
     """Absent files of pairs that touch English."""
     return required.where("src = 'en' or tgt = 'en'").join(present, "path", "left_anti").select("pair", "path")
@@ -63,10 +79,8 @@ def recent(rows: DataFrame, limit: int = 200) -> DataFrame:
 
 def appended(rows: DataFrame, new: DataFrame) -> DataFrame:
     """rows and new with the next ids, in the order of created_at."""
-    from pyspark.sql import Window
-
     last = rows.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    numbered = new.crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.row_number().over(Window.orderBy("created_at", "source_text"))).drop("last")  # last is one row
+    numbered = ranked(new, "id", F.col("created_at"), F.col("source_text")).crossJoin(F.broadcast(last)).withColumn("id", F.col("last") + F.col("id")).drop("last")  # last is one row
     return rows.unionByName(numbered.select(*rows.columns))
 
 

@@ -141,7 +141,43 @@ def ordered_corners(quad: Column) -> Column:
     add, less = (lambda c: c["x"] + c["y"]), (lambda c: c["x"] - c["y"])
     at = F.array(by(add, True), by(less, False), by(add, False), by(less, True))
     flat = F.flatten(F.transform(at, lambda k: F.array(F.get(every, k)["x"], F.get(every, k)["y"])))
-    return F.when(F.size(F.array_distinct(at)) == 4, flat).otherwise(quad)
+    one = lambda i, j: F.get(at, F.lit(i)) == F.get(at, F.lit(j))
+    return F.when(one(0, 2) | one(1, 3) | one(0, 1) | one(3, 2), quad).otherwise(flat)
+
+
+def scaled_corners(quad: Column, sx: float, sy: float) -> Column:
+    return F.transform(quad, lambda x, i: x * F.when(i % 2 == 0, F.lit(sx)).otherwise(F.lit(sy)))
+
+
+def clamped_corners(quad: Column, width: float, height: float) -> Column:
+    """Every corner within [0, width] x [0, height]."""
+    return F.transform(quad, lambda x, i: F.greatest(F.lit(0.0), F.least(F.when(i % 2 == 0, F.lit(width)).otherwise(F.lit(height)), x)))
+
+
+def translated_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks whose translation is not blank."""
+    return blocks.where(F.trim(F.coalesce("translation", F.lit(""))) != "")
+
+
+def sample_table(rows: DataFrame, models: list[str]) -> DataFrame:
+    """rows (source, reference, model, hypothesis, at) to one row for each source, in the first one's place, with a column for each model's last hypothesis."""
+    of = lambda m: F.max_by("hypothesis", F.when(F.col("model") == m, F.col("at"))).alias(m)
+    return rows.groupBy("source").agg(F.min_by("reference", "at").alias("reference"), F.min("at").alias("at"), *[of(m) for m in models])
+
+
+def ordered_union(first: DataFrame, more: DataFrame, column: str) -> DataFrame:
+    """Different values of column with their place (side, at): those of first before those of more, each where it came first. Both have `at`."""
+    both = first.select(column, F.lit(0).alias("side"), "at").unionAll(more.select(column, F.lit(1).alias("side"), "at"))
+    return both.groupBy(column).agg(F.min(F.struct("side", "at")).alias("first")).select(column, "first.side", "first.at")
+
+
+def report_json(scores: DataFrame, samples: DataFrame, models: list[str], most: int = 15) -> str:
+    """As report, as JSON: scores by key and model, and the first samples; both are small."""
+    import json
+
+    table = {r.key: {m: r[m] for m in models if r[m] is not None} for r in scores.orderBy("key").collect()}
+    first = [{"source": r.source, "reference": r.reference} for r in samples.orderBy("source").limit(most).collect()]
+    return json.dumps({"models": models, "scores": table, "samples": first}, ensure_ascii=False, indent=2)
 
 
 def report(scores: DataFrame, samples: DataFrame, models: list[str], most: int = 15) -> str:

@@ -11,7 +11,7 @@ from corpusloom.functions import text as t
 from corpusloom.functions import udfs
 from corpusloom.functions import values as v
 from corpusloom.operators import arrays, layout, metrics, pairs, routes, rules
-from corpusloom.session import table
+from corpusloom.session import durable, table
 from corpusloom.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,7 +91,7 @@ def dedup_key(spark, d):
 
 @query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY {SQUASH.format('text')} ORDER BY {RANK}, doc_id) AS n FROM documents) WHERE n = 1")
 def dedup_keep_first(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", t.squash(F.col("text")).alias("key"))
+    rows = durable(table(spark, d, "documents").select("doc_id", "source", F.md5(t.squash(F.col("text"))).alias("key")), "keep-first")
     return pairs.keep_first(rows, "key", _rank().alias("rank"), F.col("doc_id")).where("is_first").select("doc_id", "source")
 
 
@@ -106,27 +106,32 @@ def script_profile(spark, d):
     return rows.select("doc_id", F.col("p.latin").cast("long").alias("latin"), F.col("p.letters").cast("long").alias("letters"), "p.latin_share")
 
 
-SCRIPTS = Rows("id int, text string, expected string", (1, "안녕하세요", "ko"), (2, "こんにちは世界", "ja"), (3, "你好世界", "zh"), (4, "Hello", "en"), (5, "123 !?", "xx"), (6, None, "xx"), (7, "東京", "zh"), (8, "The quick brown fox jumps 안", "en"), (9, "日本のabc", "ja"))
+SCRIPTS = Rows("doc_id long, text string", (-1, "안녕하세요"), (-2, "こんにちは世界"), (-3, "你好世界"), (-4, "Hello"), (-5, "123 !?"), (-6, None), (-7, "東京"), (-8, "The quick brown fox jumps 안"), (-9, "日本のabc"))
+IN_HANGUL = r"[\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}]"
+IN_LATIN = r"[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]"
+COUNT = "len(regexp_extract_all(coalesce({0}, ''), '{1}'))"
 
 
-@query(f"WITH {SCRIPTS.sql('r')} SELECT id, expected AS lang FROM r")
+@query(
+    f"WITH {SCRIPTS.sql('s')}, r AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM s), "
+    f"c AS (SELECT doc_id, {COUNT.format('text', IN_HANGUL)} AS hangul, {COUNT.format('text', '[' + chr(0x3040) + '-' + chr(0x30FF) + ']')} AS kana, "
+    + f"{COUNT.format('text', '[' + chr(0x3400) + '-' + chr(0x4DBF) + chr(0x4E00) + '-' + chr(0x9FFF) + ']')} AS han, {COUNT.format('text', IN_LATIN)} AS latin FROM r), "
+    "n AS (SELECT *, hangul + kana + han + latin AS total FROM c) "
+    "SELECT doc_id, CASE WHEN total = 0 THEN 'xx' WHEN hangul::DOUBLE / total > 0.08 THEN 'ko' WHEN kana::DOUBLE / total > 0.08 THEN 'ja' WHEN han > 0 AND han >= latin THEN 'zh' WHEN latin > 0 THEN 'en' ELSE 'xx' END AS lang FROM n"
+)
 def script_detect(spark, d):
-    return SCRIPTS.df(spark).select("id", t.detect_script(F.col("text"), F.lit("xx")).alias("lang"))
+    rows = table(spark, d, "documents").select("doc_id", "text").unionByName(SCRIPTS.df(spark))
+    return rows.select("doc_id", t.detect_script(F.col("text"), F.lit("xx")).alias("lang"))
 
 
 PAIRS = Rows(
-    "id int, en string, ko string, expected string",
-    (1, "Open the file", "파일을 여십시오", None), (2, "", "가", "empty"), (3, "OK", "OK", "identical"), (4, "See www.x.org now", "지금 보기", "url"), (5, "A &kde; b", "가 나", "markup"),
-    (6, "Retrieved 2018", "검색", "boilerplate"), (7, "This is a very very long sentence that goes on and on for ever and ever, truly so", "짧은 문장입니다 열두자", "ratio"), (8, "1 2 3 4", "가나다", "not_text"),
-    (9, "Hello there", "Bonjour", "ko_script"), (10, "Hola señor ñ 안녕", "안녕하세요", "en_script"), (11, "Start Konqueror now", "Konqueror를 켭니다", None), (12, "x" * 401, "가", "too_long"), (13, "ab cd ef gh ij", "가나다라마바사아자차카타파하가나다라마바사아자차", "ratio"),
+    "id string, en string, ko string",
+    ("1", "Open the file", "파일을 여십시오"), ("2", "", "가"), ("3", "OK", "OK"), ("4", "See www.x.org now", "지금 보기"), ("5", "A &kde; b", "가 나"), ("6", "Retrieved 2018", "검색"),
+    ("7", "This is a very very long sentence that goes on and on for ever and ever, truly so", "짧은 문장입니다 열두자"), ("8", "1 2 3 4", "가나다"), ("9", "Hello there", "Bonjour"), ("10", "Hola señor ñ 안녕", "안녕하세요"),
+    ("11", "Start Konqueror now", "Konqueror를 켭니다"), ("12", "x" * 401, "가"), ("13", "ab cd ef gh ij", "가나다라마바사아자차카타파하가나다라마바사아자차"), ("14", "Ünïcödé ñandú", "한국어 문장"),
 )
 
 
-@query(f"WITH {PAIRS.sql('r')} SELECT id, expected AS reason FROM r")
-def check_pair_reasons(spark, d):
-    return PAIRS.df(spark).select("id", pairs.check_pair(F.col("en"), F.col("ko")).alias("reason"))
-
-
 def _turns(spark, d):
     rows = table(spark, d, "conversations")
     a, b = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("en")), rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ko"))
@@ -136,6 +141,29 @@ def _turns(spark, d):
 TURNS = "t AS (SELECT a.conv_id, a.turn, a.text AS en, b.text AS ko FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn WHERE a.role = 'user' AND b.role = 'assistant')"
 
 
+COPIED = "coalesce(list_sum(list_transform(list_filter(regexp_extract_all(ko, '[A-Za-z]+'), lambda w: list_contains(list_transform(regexp_extract_all(en, '[A-Za-z]+'), lambda e: lower(e)), lower(w))), lambda w: length(w))), 0)"
+SHARE = "coalesce({0}::DOUBLE / nullif({1}, 0), 0)"
+NO_SPACE = r"[^ \t\n\x0B\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+IN_PROFILE = r"[가-힣ᄀ-ᇿ㄰-㆏]"
+
+
+def _either(pattern: str) -> str:
+    return f"(regexp_matches(en, '{pattern}') OR regexp_matches(ko, '{pattern}'))"
+
+
+@query(
+    f"WITH {TURNS}, {PAIRS.sql('p')}, r AS (SELECT conv_id || '-' || turn AS id, en, ko FROM t UNION ALL SELECT id, en, ko FROM p), "
+    f"c AS (SELECT *, length(en) AS n, length(ko) AS m, {COUNT.format('en', r'\\p{L}')} AS en_letters, {COUNT.format('ko', r'\\p{L}')} AS ko_letters, {COUNT.format('en', NO_SPACE)} AS en_total, {COUNT.format('ko', NO_SPACE)} AS ko_total, "
+    f"{COUNT.format('en', IN_PROFILE)} AS en_hangul, {COUNT.format('ko', IN_PROFILE)} AS ko_hangul, {COUNT.format('en', '[A-Za-z]')} AS en_latin, {COPIED} AS copied FROM r) "
+    f"SELECT id, CASE WHEN n < 1 OR m < 1 THEN 'empty' WHEN en = ko THEN 'identical' WHEN n > 400 OR m > 250 THEN 'too_long' WHEN {_either(v.URL)} THEN 'url' WHEN {_either(v.ENTITY)} THEN 'markup' WHEN {_either(v.BOILERPLATE)} THEN 'boilerplate' "
+    f"WHEN n >= 12 AND m >= 12 AND NOT n::DOUBLE / m BETWEEN 0.7 AND 6.0 THEN 'ratio' WHEN {SHARE.format('en_letters', 'en_total')} < 0.3 OR {SHARE.format('ko_letters', 'ko_total')} < 0.3 THEN 'not_text' "
+    f"WHEN ko_hangul = 0 OR (ko_letters - copied > 0 AND {SHARE.format('ko_hangul', '(ko_letters - copied)')} < 0.5) THEN 'ko_script' WHEN en_hangul > 0 OR {SHARE.format('en_latin', 'en_letters')} < 0.7 THEN 'en_script' END AS reason FROM c".replace("\\\\p", "\\p")
+)
+def check_pair_reasons(spark, d):
+    rows = _turns(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "en", "ko").unionByName(PAIRS.df(spark))
+    return rows.select("id", pairs.check_pair(F.col("en"), F.col("ko")).alias("reason"))
+
+
 @query(f"WITH {TURNS}, w AS (SELECT conv_id, turn, en, unnest(regexp_extract_all(ko, '[A-Za-z]+')) AS w FROM t), c AS (SELECT conv_id, turn, sum(CASE WHEN list_contains(regexp_extract_all(lower(en), '[a-z]+'), lower(w)) THEN length(w) ELSE 0 END)::BIGINT AS n FROM w GROUP BY ALL) SELECT conv_id, turn, coalesce(n, 0) AS copied FROM (SELECT DISTINCT conv_id, turn FROM t) LEFT JOIN c USING (conv_id, turn)")
 def copied_words(spark, d):
     ascii_en = F.translate("en", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -198,12 +226,12 @@ def outcome_totals(spark, d):
 
 
 RELEASES = Rows("corpus string, version string, pairs long", ("TED2020", "v1", 390_000), ("KDE4", "v2", 80_000), ("WikiMatrix", "v1", 300_000), ("Tatoeba", "v9", 10), ("XLEnt", "v1", 0))
-CATALOGUE = Rows("rank int, name string, domain string, cap int, core boolean", *[(i, n, m, c, "core" in p) for i, (n, m, c, p) in enumerate(v.CORPORA)])
+CATALOGUE = Rows("rank int, name string, cap int, core boolean", *[(i, n, c, "core" in p) for i, (n, c, p) in enumerate(v.CORPORA)])
 
 
 @query(f"WITH {CATALOGUE.sql('c')}, {RELEASES.sql('r')} SELECT rank, name, CASE WHEN corpus IS NULL THEN 'not available' ELSE 'available' END AS status, CASE WHEN corpus IS NULL THEN NULL WHEN cap IS NULL OR pairs = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, cap::DOUBLE / pairs) END AS rate FROM c LEFT JOIN r ON name = corpus WHERE core AND name NOT IN ('Tatoeba')")
 def catalogue_left_join(spark, d):
-    rows = spark.createDataFrame([(i, n, c, list(p)) for i, (n, _, c, p) in enumerate(v.CORPORA)], "rank int, name string, cap int, profiles array<string>")
+    rows = spark.createDataFrame([(i, n, c, list(p)) for i, (n, c, p) in enumerate(v.CORPORA)], "rank int, name string, cap int, profiles array<string>")
     rows = rows.where(F.array_contains("profiles", "core") & ~F.col("name").isin(*v.EXCLUDED)).join(RELEASES.df(spark), F.col("name") == F.col("corpus"), "left")
     there = F.col("corpus").isNotNull()
     return rows.select("rank", "name", F.when(there, "available").otherwise("not available").alias("status"), F.when(there, pairs.sampling_rate(F.col("cap"), F.col("pairs"))).alias("rate"))
@@ -245,35 +273,54 @@ def _box(x, y, w, h):
 
 
 QUADS = Rows(
-    "page_id int, line_no int, quad array<double>, para int, pos int",
-    (1, 0, _box(0, 0, 100, 10), 1, 1), (1, 1, _box(0, 12, 90, 10), 1, 3), (1, 2, _box(2, 60, 95, 10), 2, 4), (1, 3, _box(0, 72, 95, 30), 3, 6), (1, 4, _box(300, 0, 80, 10), 4, 2), (1, 5, _box(300, 61, 80, 10), 5, 5),
-    (2, 0, _box(0, 0, 50, 0), 1, 1), (2, 1, _box(0, 5, 50, 10), 2, 2),
+    "page_id long, line_no int, quad array<double>",
+    (-1, 0, _box(0, 0, 100, 10)), (-1, 1, _box(0, 12, 90, 10)), (-1, 2, _box(2, 60, 95, 10)), (-1, 3, _box(0, 72, 95, 30)), (-1, 4, _box(300, 0, 80, 10)), (-1, 5, _box(300, 61, 80, 10)), (-2, 0, _box(0, 0, 50, 0)), (-2, 1, _box(0, 5, 50, 10)),
 )
+BOXES = f"""{QUADS.sql('own')}, b AS (
+  SELECT l_orderkey AS page_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))::INT AS line_no, (l_partkey % 3 * 70)::DOUBLE AS x, (l_linenumber * 14 + l_suppkey % 23)::DOUBLE AS y, (60 + l_quantity::INT)::DOUBLE AS w, (8 + l_partkey % 7)::DOUBLE AS h FROM lineitem),
+q AS (SELECT page_id, line_no, x AS l, x + w AS r, y AS t, y + h AS b, h FROM b UNION ALL SELECT page_id, line_no, quad[1], quad[3], quad[2], quad[8], quad[8] - quad[2] FROM own)"""
+
+
+def _lines(spark, d):
+    """A page for each order, a line for each of its items, and the fixed pages."""
+    x, y = (F.col("l_partkey") % 3 * 70).cast("double"), (F.col("l_linenumber") * 14 + F.col("l_suppkey") % 23).cast("double")
+    w, h = (60 + F.col("l_quantity").cast("int")).cast("double"), (8 + F.col("l_partkey") % 7).cast("double")
+    no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("page_id"), no.alias("line_no"), F.array(x, y, x + w, y, x + w, y + h, x, y + h).alias("quad"))
+    return rows.unionByName(QUADS.df(spark))
 
 
-@query(f"WITH {QUADS.sql('q')} SELECT page_id, line_no, para::BIGINT AS para FROM q")
+@query(
+    f"WITH {BOXES}, p AS (SELECT *, lag(l) OVER w AS pl, lag(r) OVER w AS pr, lag(t) OVER w AS pt, lag(b) OVER w AS pb, lag(h) OVER w AS ph FROM q WINDOW w AS (PARTITION BY page_id ORDER BY line_no)), "
+    "g AS (SELECT *, coalesce(least(h, ph) > 0 AND greatest(h, ph) <= least(h, ph) * 1.7 AND t - pb <= greatest(h, ph) * 1.6 AND (t + b) / 2 >= (pt + pb) / 2 AND least(r - l, pr - pl) > 0 AND least(r, pr) - greatest(l, pl) >= least(r - l, pr - pl) * 0.25, false) AS goes_on FROM p) "
+    "SELECT page_id, line_no, sum(CASE WHEN goes_on AND ph IS NOT NULL THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY line_no)::BIGINT AS para FROM g"
+)
 def paragraph_islands(spark, d):
-    return layout.paragraphs(QUADS.df(spark).drop("para", "pos")).select("page_id", "line_no", "para")
+    return layout.paragraphs(_lines(spark, d)).select("page_id", "line_no", "para")
 
 
-@query(f"WITH {QUADS.sql('q')} SELECT page_id, line_no, pos FROM q")
+@query(
+    f"WITH {BOXES}, c AS (SELECT *, (t + b) / 2 AS c FROM q), n AS (SELECT *, coalesce(CASE WHEN c - lag(c) OVER w > least(b - t, lag(b - t) OVER w) * 0.6 THEN 1 ELSE 0 END, 1) AS new, lag(c) OVER w IS NULL AS first FROM c WINDOW w AS (PARTITION BY page_id ORDER BY c, l, line_no)), "
+    "k AS (SELECT *, sum(CASE WHEN first THEN 1 ELSE new END) OVER (PARTITION BY page_id ORDER BY c, l, line_no) AS band FROM n) SELECT page_id, line_no, row_number() OVER (PARTITION BY page_id ORDER BY band, l, line_no)::INT AS pos FROM k"
+)
 def reading_order(spark, d):
-    return layout.reading_order(QUADS.df(spark).drop("para", "pos")).select("page_id", "line_no", "pos")
+    return layout.reading_order(_lines(spark, d)).select("page_id", "line_no", "pos")
 
 
-@query(f"WITH {QUADS.sql('q')} SELECT page_id, line_no, (quad[3] - quad[1])::DOUBLE AS width, (quad[8] - quad[2])::DOUBLE AS height, 0.0::DOUBLE AS angle, quad[1]::DOUBLE AS \"left\", quad[2]::DOUBLE AS top FROM q")
+@query(f"WITH {BOXES} SELECT page_id, line_no, r - l AS width, b - t AS height, 0.0::DOUBLE AS angle, l AS \"left\", t AS top FROM q")
 def quad_metrics(spark, d):
     m = layout.quad_metrics(F.col("quad"))
-    return QUADS.df(spark).select("page_id", "line_no", *[m[k].alias(k) for k in ("width", "height", "angle", "left", "top")])
+    return _lines(spark, d).select("page_id", "line_no", *[m[k].alias(k) for k in ("width", "height", "angle", "left", "top")])
+
+
+@query(f"WITH {BOXES} SELECT page_id, max(r - l) AS width FROM q GROUP BY page_id")
+def line_widths(spark, d):
+    return layout.line_widths(_lines(spark, d), ["page_id"])
 
 
 @query("SELECT o_orderpriority, o_totalprice AS upper_median FROM (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE k = n // 2 + 1")
 def upper_median(spark, d):
-    """At scale: the rank of the median by a histogram of counts would be next; here groups are counted and ranked in a distributed sort."""
-    rows = table(spark, d, "orders").select("o_orderpriority", "o_totalprice").groupBy("o_orderpriority", "o_totalprice").count()
-    w = Window.partitionBy("o_orderpriority")
-    ranked = rows.withColumn("upto", F.sum("count").over(w.orderBy("o_totalprice"))).withColumn("n", F.sum("count").over(w))
-    return ranked.where("upto > n div 2").groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("upper_median"))
+    return layout.upper_median(table(spark, d, "orders").select("o_orderpriority", "o_totalprice"), "o_orderpriority", "o_totalprice")
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, role, text) AS page FROM conversations GROUP BY conv_id")
@@ -282,18 +329,24 @@ def ordered_concat(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(layout.page_text(F.transform(every, lambda x: x["text"])).alias("page"))
 
 
-LINES = Rows("id int, lines array<string>, expected string", (1, ["Hello", "world"], "Hello world"), (2, ["日本", "語です"], "日本語です"), (3, ["日本", "abc"], "日本 abc"), (4, ["안녕", "하세요"], "안녕하세요"), (5, [" a", ""], "a"), (6, ["。", "次"], "。次"))
+LINES = Rows("doc_id long, text string", (-1, "Hello\nworld"), (-2, "日本\n語です"), (-3, "日本\nabc"), (-4, "안녕\n하세요"), (-5, " a\n"), (-6, "。\n次"))
+CJK_CHAR = t.CJK
 
 
-@query(f"WITH {LINES.sql('l')} SELECT id, expected AS joined FROM l")
+@query(
+    f"WITH {LINES.sql('own')}, r AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM own) "
+    f"SELECT doc_id, trim(list_reduce(list_prepend('', string_split(text, chr(10))), lambda s, x: CASE WHEN s = '' THEN x WHEN regexp_matches(right(s, 1), '^{CJK_CHAR}$') AND regexp_matches(left(x, 1), '^{CJK_CHAR}$') THEN s || x ELSE s || ' ' || x END)) AS joined FROM r"
+)
 def cjk_concat(spark, d):
-    return LINES.df(spark).select("id", layout.join_lines(F.col("lines")).alias("joined"))
+    rows = table(spark, d, "documents").select("doc_id", "text").unionByName(LINES.df(spark))
+    return rows.select("doc_id", layout.join_lines(F.split("text", "\n")).alias("joined"))
 
 
 @query()
 def redistribute_lines(spark, d):
-    rows = spark.createDataFrame([(1, "the quick brown fox", [10, 10]), (2, "abcdef", [3, 3]), (3, "", [1, 2]), (4, "one two three four", [1, 30, 5])], "id int, text string, lengths array<int>")
-    return rows.select("id", layout.redistribute(F.col("text"), F.col("lengths")).alias("lines"), layout.redistribute(F.col("text"), F.col("lengths"), strict=True).alias("strict"))
+    lengths = F.transform(F.split("text", " "), lambda w: F.length(w) % 7)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text"), F.slice(lengths, F.lit(1), F.lit(12)).alias("lengths")).where("text is not null")
+    return rows.select("conv_id", "turn", "role", layout.redistribute(F.col("text"), F.col("lengths")).alias("lines"), layout.redistribute(F.col("text"), F.col("lengths"), strict=True).alias("strict"))
 
 
 @query()
@@ -314,13 +367,16 @@ def argmax_first(spark, d):
     return table(spark, d, "embeddings").select("vec_id", arrays.argmax_first(F.col("embedding")).alias("argmax"))
 
 
-CTC = Rows("id int, labels array<int>, maxima array<double>, text string, confidence double", (1, [1, 1, 0, 1, 2], [0.9, 0.8, 0.7, 0.5, 0.1], "aab", 0.5), (2, [0, 0], [0.9, 0.9], "", 0.0), (3, [3, 0, 4, 4, 1], [1.0, 0.0, 0.5, 0.4, 0.6], "c a", 0.7))
-
-
-@query(f"WITH {CTC.sql('c')} SELECT id, text, confidence::DOUBLE AS confidence FROM c")
+@query(
+    "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: (floor(abs(x::DOUBLE) * 40)::INT % 5)) AS labels, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS maxima FROM embeddings), "
+    "k AS (SELECT *, list_filter(range(1, len(labels) + 1), lambda i: labels[i] <> 0 AND (i = 1 OR labels[i] <> labels[i - 1])) AS kept FROM s) "
+    "SELECT vec_id, array_to_string(list_transform(kept, lambda i: coalesce(['a', 'b', 'c'][labels[i]], ' ')), '') AS text, round(coalesce(list_sum(list_transform(kept, lambda i: maxima[i])) / nullif(len(kept), 0), 0), 9) AS confidence FROM k"
+)
 def ctc_collapse(spark, d):
     glyphs = F.array(*map(F.lit, "abc"))
-    return CTC.df(spark).select("id", arrays.ctc_text(F.col("labels"), glyphs).alias("text"), arrays.ctc_confidence(F.col("labels"), F.col("maxima")).alias("confidence"))
+    size = lambda x: F.abs(x.cast("double"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (F.floor(size(x) * 40) % 5).cast("int")).alias("labels"), F.transform("embedding", size).alias("maxima"))
+    return rows.select("vec_id", arrays.ctc_text(F.col("labels"), glyphs).alias("text"), F.round(arrays.ctc_confidence(F.col("labels"), F.col("maxima")), 9).alias("confidence"))
 
 
 VOCAB = Rows("line_no long, value string", (0, "<unk>\t1"), (1, "the\t5"), (2, "of\t6"), (3, "bad"), (4, "the\t7"), (5, "x\ty\t8"), (6, "and\tnine"), (7, "de\t9"))
@@ -385,15 +441,32 @@ def available_pairs(spark, d):
     return routes.available_pairs(routes.required_files(routes.languages(spark)), _present(spark))
 
 
-CODES = Rows("code string, expected string", ("en", "en"), (" JP ", "ja"), ("zh-Hans", "zh"), ("en_US", "en"), ("KO-kr", "ko"), ("xx", None), (None, None), ("_en", None), ("zho", "zh"))
+CODES = Rows("code string", ("en",), (" JP ",), ("zh-Hans",), ("en_US",), ("KO-kr",), ("xx",), (None,), ("_en",), ("zho",), ("kor",))
+KNOWN = " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in (v.ALIASES | {k: k for k in v.LANGS}).items())
+FROM_CODE = f"CASE CASE WHEN contains(lower(trim(code)), '-') THEN split_part(lower(trim(code)), '-', 1) WHEN instr(lower(trim(code)), '_') > 1 THEN split_part(lower(trim(code)), '_', 1) ELSE lower(trim(code)) END {KNOWN} END"
+ALL_CODES = f"{CODES.sql('own')}, r AS (SELECT DISTINCT lang || suffix AS code FROM documents, (VALUES (''), ('-x'), ('_Y'), ('z')) s(suffix) UNION ALL SELECT code FROM own), k AS (SELECT code, {FROM_CODE} AS lang FROM r)"
 
 
-@query(f"WITH {CODES.sql('c')} SELECT code, expected AS lang FROM c")
+def _codes(spark, d):
+    made = table(spark, d, "documents").select(F.explode(F.array(*[F.concat("lang", F.lit(x)) for x in ("", "-x", "_Y", "z")])).alias("code")).distinct()
+    return made.unionByName(CODES.df(spark))
+
+
+@query(f"WITH {ALL_CODES} SELECT code, lang FROM k")
 def lang_from_code(spark, d):
-    return CODES.df(spark).select("code", t.lang_from_code(F.col("code")).alias("lang"))
+    return _codes(spark, d).select("code", t.lang_from_code(F.col("code")).alias("lang"))
+
+
+LANGUAGES = Rows("code string, english_name string, native_name string, user_facing boolean", *[(k, *x) for k, x in v.LANGS.items()])
 
 
-@query("SELECT unnest(['ja', 'zh']) AS code")
+@query(f"WITH {ALL_CODES}, {LANGUAGES.sql('l')} SELECT k.code, coalesce(k.lang, 'zh') AS known, CASE WHEN l.user_facing THEN k.lang ELSE 'en' END AS shown, CASE WHEN k.lang = 'en' THEN english_name ELSE english_name || ' (' || native_name || ')' END AS name FROM k LEFT JOIN l ON k.lang = l.code")
+def lang_names(spark, d):
+    code = F.col("code")
+    return _codes(spark, d).select("code", t.from_code_or(code, "zh").alias("known"), t.user_facing_or(code, "en").alias("shown"), t.display_name(t.lang_from_code(code)).alias("name"))
+
+
+@query(f"WITH {LANGUAGES.sql('l')} SELECT code FROM l WHERE user_facing AND (contains(lower(english_name), 'ese') OR contains(lower(native_name), 'ese') OR contains(lower(code), 'ese'))")
 def lang_search(spark, d):
     q = F.lit("ese")
     langs = routes.languages(spark).where("user_facing")
@@ -426,13 +499,15 @@ def history_title(spark, d):
     return HISTORY.df(spark).select("id", t.title(F.col("source_text")).alias("title"))
 
 
-CONFIGS = Rows("id int, json string, max_length int, unk int", (1, '{"max_length": 4}', 8, 1), (2, "{}", 256, 1), (3, '{"max_length": 9000, "unk_token_id": 3}', 512, 3))
-
-
-@query(f"WITH {CONFIGS.sql('c')} SELECT id, max_length, unk FROM c")
+@query(
+    "WITH r AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '{}' WHEN 1 THEN '{\"max_length\": ' || p_size * 20 || '}' ELSE '{\"unk_token_id\": ' || p_size || ', \"vocab_size\": ' || p_partkey || '}' END AS json FROM part) "
+    "SELECT p_partkey, greatest(8, least(512, coalesce((json->>'max_length')::INT, 256))) AS max_length, coalesce((json->>'unk_token_id')::INT, 1) AS unk, coalesce((json->>'vocab_size')::INT, 58101) - 1 AS pad FROM r"
+)
 def json_defaults(spark, d):
-    c = readers.config(F.col("json"))
-    return CONFIGS.df(spark).select("id", c["max_length"].alias("max_length"), c["unk"].alias("unk"))
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    json = F.when(key % 3 == 0, "{}").when(key % 3 == 1, F.concat(F.lit('{"max_length": '), (F.col("p_size") * 20).cast("string"), F.lit("}"))).otherwise(F.concat(F.lit('{"unk_token_id": '), size, F.lit(', "vocab_size": '), key.cast("string"), F.lit("}")))
+    c = readers.config(json)
+    return table(spark, d, "part").select("p_partkey", c["max_length"].alias("max_length"), c["unk"].alias("unk"), c["pad"].alias("pad"))
 
 
 @query(r"SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0A-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '" + '"' + r"', '&quot;'), '''', '&apos;') AS escaped FROM pages")
@@ -488,11 +563,14 @@ def page_range(spark, d):
 
 
 
-@query("WITH r(id, tokens) AS (VALUES (1, ['▁a', '▁b']), (2, ['x', '▁c'])) SELECT id, tokens, CASE id WHEN 1 THEN [4, 5, 0] ELSE [1, 1, 0] END AS ids FROM r")
+@query(
+    "WITH k AS (SELECT conv_id, turn, role, list_filter(string_split(text, ' '), lambda x: x <> '' AND NOT regexp_matches(x, '^<.*>$')) AS kept FROM conversations WHERE text IS NOT NULL) "
+    "SELECT conv_id, turn, role, len(kept)::INT AS n, array_to_string(list_append(list_transform(kept, lambda x: CASE x WHEN 'the' THEN 4 WHEN 'of' THEN 5 ELSE 1 END), 0), ' ') AS ids FROM k"
+)
 def special_tokens(spark, d):
-    rows = spark.createDataFrame([(1, ["<s>", "▁a", "", "▁b", "</s>"]), (2, ["x", "▁c", "<pad>"])], "id int, tokens array<string>")
-    kept = rules.without_special(F.col("tokens"))
-    return rows.select("id", kept.alias("tokens"), rules.encoded(kept, {"▁a": 4, "▁b": 5}, 1, 0).alias("ids"))
+    kept = rules.without_special(F.split("text", " "))
+    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "role", kept.alias("kept"))
+    return rows.select("conv_id", "turn", "role", F.size("kept").alias("n"), F.array_join(F.transform(rules.encoded(F.col("kept"), {"the": 4, "of": 5}, 1, 0), lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @query("SELECT p_partkey, greatest(32, floor(p_size * 7.0 / 32 + 0.5)::INT * 32) AS rounded, greatest(320, least(2048, p_size * 60)) AS side, least(512, greatest(16, 3 * p_size + 8)) AS decode_limit FROM part")
@@ -507,9 +585,9 @@ def two_colours(spark, d):
     return rules.two_colours(pixels).select("image_id", F.col("ink")[0].alias("ink_r"), F.col("ink")[1].alias("ink_g"), F.col("ground")[2].alias("ground_b"))
 
 
-@query("WITH p AS (SELECT 'file ' || c_custkey AS path FROM customer WHERE c_nationkey = 3) SELECT (SELECT string_agg(path, chr(10) ORDER BY path) FROM (SELECT path FROM p ORDER BY path LIMIT 12)) || CASE WHEN count(*) > 12 THEN chr(10) || '… and ' || (count(*) - 12) || ' more' ELSE '' END AS summary FROM p")
+@query("WITH p AS (SELECT 'file ' || c_custkey AS path FROM customer) SELECT (SELECT string_agg(path, chr(10) ORDER BY path) FROM (SELECT path FROM p ORDER BY path LIMIT 12)) || CASE WHEN count(*) > 12 THEN chr(10) || '… and ' || (count(*) - 12) || ' more' ELSE '' END AS summary FROM p")
 def missing_summary(spark, d):
-    paths = table(spark, d, "customer").where("c_nationkey = 3").select(F.concat(F.lit("file "), F.col("c_custkey").cast("string")).alias("path"))
+    paths = table(spark, d, "customer").select(F.concat(F.lit("file "), F.col("c_custkey").cast("string")).alias("path"))
     return rules.missing_summary(paths)
 
 
@@ -522,3 +600,113 @@ def lookups(spark, d):
 @query("WITH t(s) AS (VALUES ('{n} {item}'), ('the {item} of {n}')), i(x) AS (VALUES ('cat'), ('sign'), ('door')), e AS (SELECT DISTINCT replace(replace(s, '{item}', x), '{n}', n::VARCHAR) AS source FROM t, i, generate_series(2, 99) g(n)) SELECT source FROM e ORDER BY ('0x' || substr(md5('11:' || source), 1, 15))::BIGINT, source LIMIT 100")
 def mock_pairs(spark, d):
     return rules.mock_pairs(spark, [("{n} {item}", "{item} {n}"), ("the {item} of {n}", "{n} {item}")], [("cat", "a"), ("sign", "b"), ("door", "c")], 100, 11).select("source")
+
+
+@query("SELECT source, batch, count(*) AS n, max(padded) AS padded FROM (SELECT source, batch, greatest(16, least(1200, ceil(max(n_chars / 100.0) OVER (PARTITION BY source, batch) * 48 / 8)::INT * 8)) AS padded FROM (SELECT source, n_chars, (row_number() OVER (PARTITION BY source ORDER BY n_chars / 100.0, doc_id) - 1) // 6 AS batch FROM documents)) GROUP BY ALL")
+def aspect_batches(spark, d):
+    rows = table(spark, d, "documents").select("source", "doc_id", (F.col("n_chars") / 100.0).alias("ratio"))
+    return layout.aspect_batches(rows, ["source"], "ratio", F.col("doc_id")).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("padded").alias("padded"))
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 50 AS batch FROM orders")
+def fixed_batches(spark, d):
+    return layout.batches(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 50, F.col("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "batch")
+
+
+@query("SELECT l_orderkey, l_linenumber, trim(l_returnflag) AS text FROM lineitem WHERE trim(l_returnflag) <> '' AND l_discount * 10 >= 0.5")
+def confident_lines(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("text"), (F.col("l_discount") * 10).alias("confidence"))
+    return rules.confident_lines(rows).select("l_orderkey", "l_linenumber", "text")
+
+
+@query("SELECT map_id, seed, line FROM (SELECT l_suppkey AS map_id, l_orderkey AS seed, l_linenumber AS line, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem WHERE l_quantity >= 12 AND l_discount * 10 >= 0.6 AND l_quantity / 4 >= 3.5) WHERE n <= 20")
+def sound_components(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("map_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seed"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("size"), (F.col("l_discount") * 10).alias("score"), (F.col("l_quantity") / 4).alias("side"))
+    return rules.sound_components(rows, side=3.5, most=20).select("map_id", F.col("o").alias("seed"), "line")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+def only_regions(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    return rules.only(rows, "r_name", ["ASIA", "EUROPE"], {r.r_name for r in table(spark, d, "region").select("r_name").collect()})  # a few regions
+
+
+@query(f"WITH {TURNS} SELECT ko AS source, en AS target, true AS noisy FROM t")
+def role_projection(spark, d):
+    return rules.roles(_turns(spark, d), "ko", "en", True)
+
+
+@query("SELECT doc_id, upper(lang) || ' → ' || upper(source) AS label, replace(text, '|', '\\|') AS cell FROM documents")
+def labels_and_cells(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.direction_label(F.col("lang"), F.col("source")).alias("label"), t.markdown_cell(F.col("text")).alias("cell"))
+
+
+@query("WITH s AS (SELECT doc_id, lang || CASE WHEN doc_id % 2 = 0 THEN '=' || source || '=x' ELSE '' END AS spec FROM documents) SELECT doc_id, split_part(spec, '=', 1) AS name, CASE WHEN contains(spec, '=') THEN spec[instr(spec, '=') + 1:] ELSE '' END AS path FROM s")
+def model_specs(spark, d):
+    spec = F.concat("lang", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("="), "source", F.lit("=x"))).otherwise(""))
+    return table(spark, d, "documents").select("doc_id", t.name_and_path(spec).alias("s")).select("doc_id", "s.name", "s.path")
+
+
+PARTICLES = "CASE WHEN unicode(right(word, 1)) BETWEEN 44032 AND 55203 AND (unicode(right(word, 1)) - 44032) % 28 <> 0 THEN '을' ELSE '를' END"
+
+
+@query(f"WITH w AS (SELECT doc_id, lang || chr((44032 + doc_id * 13 % 11172)::INT) AS word FROM documents) SELECT doc_id, word, {PARTICLES} AS particle FROM w")
+def particles(spark, d):
+    code = F.lit(44032) + F.col("doc_id") * 13 % 11172
+    octets = F.concat(F.hex((F.lit(224) + F.floor(code / 4096))), F.hex(F.lit(128) + F.floor(code / 64) % 64), F.hex(F.lit(128) + code % 64))
+    word = F.concat("lang", F.decode(F.unhex(octets), "UTF-8"))
+    return table(spark, d, "documents").select("doc_id", word.alias("word")).withColumn("particle", t.topic_particle(F.col("word"), "을", "를"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 5 THEN p_retailprice::DOUBLE * 1.6 / (p_size - 5) ELSE 0.0 END AS unclip FROM part")
+def unclip_distances(spark, d):
+    return table(spark, d, "part").select("p_partkey", layout.unclip_distance(F.col("p_retailprice").cast("double"), (F.col("p_size") - 5).cast("double")).alias("unclip"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey >= 4800 THEN pow(2, floor(log2(p_partkey / 2400.0)))::INT ELSE 1 END AS sample, [greatest(0.0, least(40.0, p_size * 2.0)), greatest(0.0, least(30.0, (p_size - 9) * 0.5))]::VARCHAR AS corner FROM part")
+def sizes_and_corners(spark, d):
+    quad = F.array(*[F.col("p_size").cast("double"), (F.col("p_size") - 9).cast("double")] * 4)
+    corner = F.slice(rules.clamped_corners(rules.scaled_corners(quad, 2.0, 0.5), 40.0, 30.0), F.lit(1), F.lit(2))
+    return table(spark, d, "part").select("p_partkey", rules.sample_size(F.col("p_partkey"), 2400).alias("sample"), F.concat(F.lit("["), F.array_join(F.transform(corner, lambda x: x.cast("string")), ", "), F.lit("]")).alias("corner"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE trim(CASE WHEN doc_id % 4 = 0 THEN '  ' ELSE text END) <> ''")
+def translated_blocks(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 4 == 0, "  ").otherwise(F.col("text")).alias("translation"))
+    return rules.translated_blocks(rows).select("doc_id", "text")
+
+
+@query("SELECT conv_id AS source, min(text) FILTER (turn = lo) AS reference, max(text) FILTER (role = 'user' AND turn = hi_u) AS user, max(text) FILTER (role = 'assistant' AND turn = hi_a) AS assistant FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS lo, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS hi_u, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS hi_a FROM conversations) GROUP BY conv_id")
+def sample_table(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("source"), F.col("text").alias("reference"), F.col("role").alias("model"), F.col("text").alias("hypothesis"), F.col("turn").alias("at"))
+    return rules.sample_table(rows, ["user", "assistant"]).select("source", "reference", "user", "assistant")
+
+
+@query("SELECT source, min(side) AS side, arg_min(at_, (side, at_)) AS at FROM (SELECT lang AS source, 0 AS side, doc_id AS at_ FROM documents UNION ALL SELECT source, 1, doc_id FROM documents) GROUP BY source")
+def ordered_union(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("at"), "lang", "source")
+    return rules.ordered_union(rows.select(F.col("lang").alias("source"), "at"), rows.select("source", "at"), "source")
+
+
+@query("SELECT src || '-' || tgt AS pair, rank FROM (VALUES (0, 'en', 'ko'), (1, 'ko', 'en'), (2, 'en', 'ja'), (3, 'ja', 'en'), (4, 'en', 'zh'), (5, 'zh', 'en')) p(rank, src, tgt) WHERE 'mt/' || src || '-' || tgt IN ('mt/en-ja', 'mt/zh-en', 'mt/none')")
+def existing_pairs(spark, d):
+    paths = routes.pair_models(spark).select("rank", F.concat_ws("-", "src", "tgt").alias("pair")).withColumn("path", F.concat(F.lit("mt/"), "pair"))
+    return routes.existing(paths, spark.createDataFrame([("mt/en-ja",), ("mt/zh-en",), ("mt/none",)], "path string")).select("pair", "rank")
+
+
+@query(f"WITH {HISTORY.sql('h')} SELECT id, image_path FROM h WHERE image_path IS NOT NULL")
+def history_images(spark, d):
+    return HISTORY.df(spark).where("image_path is not null").select("id", "image_path")
+
+
+@query()
+def side_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", udfs.side_key(F.col("text")).alias("side_key"))
+
+
+@query()
+def map_boxes(spark, d):
+    """Every vector as a map eight cells wide."""
+    rows = table(spark, d, "embeddings").where("size(embedding) % 8 = 0 and size(embedding) > 0")
+    maps = rows.select(F.col("vec_id").alias("map_id"), F.lit(8).alias("width"), (F.size("embedding") / 8).cast("int").alias("height"), F.transform("embedding", lambda x: F.abs(x.cast("double")) * 4).alias("cells"))
+    return arrays.map_boxes(maps, least=3, score=0.4)

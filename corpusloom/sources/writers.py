@@ -23,6 +23,23 @@ def vocab(df: DataFrame, path: str) -> None:
     df.repartitionByRange("id").sortWithinPartitions("id").select(safe.alias("value")).write.mode("overwrite").text(path)
 
 
+def pieces(df: DataFrame, path: str) -> None:
+    """piece, score by id; a tab or line feed in a piece is an error."""
+    safe = F.when(F.col("piece").rlike(r"[\t\n]"), F.raise_error(F.lit("tab or line feed in a piece"))).otherwise(F.concat_ws("\t", "piece", F.col("score").cast("string")))
+    df.repartitionByRange("id").sortWithinPartitions("id").select(safe.alias("value")).write.mode("overwrite").text(path)
+
+
+def manifest(outputs: dict[str, DataFrame]) -> str:
+    """JSON of the outputs, by name: rows and content hash of each, and sha256 over the hashes of all."""
+    import hashlib
+    import json
+
+    hashes = {name: content_hash(df) for name, df in sorted(outputs.items())}
+    rows = {name: int(h.rsplit("-", 1)[1]) for name, h in hashes.items()}
+    sha = {name: hashlib.sha256(h.encode()).hexdigest() for name, h in hashes.items()}
+    return json.dumps({"splits": rows, "sha256": sha}, indent=2)
+
+
 def content_hash(df: DataFrame) -> str:
     """A hash of the rows, whatever their order and files: the 128-bit sums of their md5 halves."""
     row = F.md5(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))

@@ -166,3 +166,135 @@ def test_history_changes(spark):
     got = routes.appended(rows, new)
     assert sorted((r.id, r.source_text) for r in got.collect()) == [(3, "a"), (5, "b"), (6, "c"), (7, "d")]
     assert {r.id for r in routes.without(got, spark.createDataFrame([(5,), (99,)], "id long")).collect()} == {3, 6, 7}
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("README", "x")
+        z.writestr("a.en", b"one\ntwo \xff\nthree\n")
+        z.writestr("a.ko", "하나\n둘\n")
+    got = sorted(map(tuple, readers.moses_zip(spark, f"file://{tmp_path}/a.zip").collect()))
+    assert got == [(0, "one", "하나"), (1, "two �", "둘")]
+
+    def tar(name, ko):
+        with tarfile.open(tmp_path / name, "w:gz") as f:
+            for lang, text in (("eng_Latn", "a\nb\n"), ("kor_Hang", ko)):
+                info = tarfile.TarInfo(f"flores/dev/{lang}.dev")
+                info.size = len(text.encode())
+                f.addfile(info, io.BytesIO(text.encode()))
+        return f"file://{tmp_path}/{name}"
+
+    assert sorted(map(tuple, readers.flores_tar(spark, tar("g.tgz", "가\n나\n"), "dev").collect())) == [(0, "a", "가"), (1, "b", "나")]
+    with pytest.raises(Exception, match="2 English lines, 1 Korean"):
+        readers.flores_tar(spark, tar("b.tgz", "가\n"), "dev").collect()
+
+
+def test_line_numbers_over_parts(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "n.txt").write_text("\n".join(lines) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = readers.numbered_lines(spark, f"file://{tmp_path}/n.txt").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [r.value for r in sorted(got, key=lambda r: r.line_no)] == lines and {r.line_no for r in got} == set(range(3000))
+
+
+def test_strict_readers_and_sets(spark, tmp_path):
+    put = lambda n, x: (tmp_path / n).write_text(x, encoding="utf-8")
+    root = f"file://{tmp_path}"
+    put("vocab.tsv", "<unk>\t3\na\t1\n")
+    lines = readers.numbered_lines(spark, f"{root}/vocab.tsv")
+    assert readers.vocab_strict(lines)[1] == 3 and readers.vocab_strict(lines.where("line_no = 1"))[1] == 0
+    with pytest.raises(ValueError):
+        readers.vocab_strict(lines.where("false"))
+    source, target = readers.exported_vocab(spark, root)
+    assert sorted(map(tuple, source.collect())) == sorted(map(tuple, target.collect())) == [("<unk>", 3), ("a", 1)]
+    put("source_vocab.tsv", "b\t2\n")
+    assert readers.exported_vocab(spark, root)[0].first() == ("b", 2)
+    put("dev.jsonl", '{"en": "a", "ko": "가", "src": "s"}\n')
+    rows, missing = readers.evaluation_sets(spark, root, ["dev", "test"])
+    assert [r.set for r in rows.collect()] == ["dev"] and missing == ["test"]
+    put("empty.txt", "")
+    with pytest.raises(ValueError):
+        readers.lines_strict(spark, f"{root}/empty.txt")
+    put("l.txt", "a\n\nb\n")
+    assert readers.lines_strict(spark, f"{root}/l.txt").count() == 3 and readers.whole_files(spark, f"{root}/l.txt").first().text == "a\n\nb\n"
+    assert {r.name: r.length for r in readers.listed(spark, root).collect()}["l.txt"] == 5
+    ps = spark.createDataFrame([(1, "▁b", -2.0), (0, "a", -1.5)], "id int, piece string, score double")
+    writers.pieces(ps, f"{root}/pieces")
+    back = readers.pieces(readers.numbered_lines(spark, f"{root}/pieces"))
+    assert sorted(map(tuple, back.collect())) == [("a", -1.5), ("▁b", -2.0)] and readers.longest_piece(back) == 2
+    import json
+
+    m = json.loads(writers.manifest({"b": ps, "a": ps.limit(0)}))
+    assert m["splits"] == {"a": 0, "b": 2} and m["sha256"]["b"] != m["sha256"]["a"]
+
+
+def test_noise_shares():
+    r = random.Random(3)
+    kept = [udfs._fuse("a b c d e f g h i j k", r).count(" ") for _ in range(3000)]
+    assert 1.4 <= 10 - sum(kept) / len(kept) <= 1.9  # a sixth more than 0.15 of ten, since one goes at least
+    got = [udfs._hangul("가", r) for _ in range(4000)]  # initial and vowel have partners, there is no final
+    assert 0.45 <= got.count("갸") / 4000 <= 0.55 and 0.25 <= got.count("카") / 4000 <= 0.35 and 0.16 <= got.count("가") / 4000 <= 0.24
+    ones = [udfs._latin("lllllllllc", r) for _ in range(2000)]  # pairs are drawn, not places
+    assert 0.2 <= sum("e" in x for x in ones) / 2000 <= 0.45
+    assert {udfs._split("a1b", r) for _ in range(50)} == {"a 1b", "a1 b"}
+
+
+def test_redistribution_of_a_table(spark):
+    from corpusloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    texts = {(x.conv_id, x.turn, x.role): x.text for x in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    for x in catalogue.QUERIES["redistribute_lines"](spark, sf).collect():
+        text = texts[(x.conv_id, x.turn, x.role)]
+        lengths = [len(w) % 7 for w in text.split(" ")][:12]
+        assert x.lines == python_redistribute(text, lengths, False) and x.strict == python_redistribute(text, lengths, True)
+
+
+def test_map_boxes_against_brute_force(spark):
+    from corpusloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for v in spark.read.parquet(f"{sf}/embeddings.parquet").collect():
+        cells = [abs(float(x)) * 4 for x in v.embedding]
+        own = {i: i for i, x in enumerate(cells) if x > 0.3}
+
+        def find(i):
+            while own[i] != i:
+                i = own[i]
+            return i
+
+        for i in own:
+            for j in own:
+                if abs(i // 8 - j // 8) <= 1 and abs(i % 8 - j % 8) <= 1:
+                    a, b = sorted((find(i), find(j)))
+                    own[b] = a
+        for root in {find(i) for i in own}:
+            got = [i for i in own if find(i) == root]
+            mean = sum(cells[i] for i in got) / len(got)
+            if len(got) >= 3 and mean >= 0.4:
+                want[(v.vec_id, min(got))] = (len(got), round(mean, 9))
+    have = {(x.map_id, x.seed): (x.size, round(x.score, 9)) for x in catalogue.QUERIES["map_boxes"](spark, sf).collect()}
+    assert have == want and have
+
+
+def test_ranks_and_reports(spark):
+    import json
+
+    from corpusloom.operators import rules
+
+    r = random.Random(9)
+    rows = [(i, r.randint(0, 50)) for i in range(500)]
+    got = layout.ranked(spark.createDataFrame(rows, "id int, x int").repartition(7), "k", F.col("x"), F.col("id")).collect()
+    assert [(g.id, g.x) for g in sorted(got, key=lambda g: g.k)] == sorted(rows, key=lambda a: (a[1], a[0])) and {g.k for g in got} == set(range(1, 501))
+    scores = spark.createDataFrame([("b", 1.5, None), ("a", 2.0, 3.0)], "key string, m double, n double")
+    doc = json.loads(rules.report_json(scores, spark.createDataFrame([("x", "z")], "source string, reference string"), ["m", "n"]))
+    assert doc["scores"] == {"a": {"m": 2.0, "n": 3.0}, "b": {"m": 1.5}} and doc["samples"] == [{"source": "x", "reference": "z"}]

@@ -21,6 +21,11 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """Removes control characters (CR among them), collapses white space, trims; null becomes empty. The part of normalisation without NFKC."""
     kept = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL, "")
@@ -56,10 +61,15 @@ def count_of(text: Column, chars: str) -> Column:
     return count_without(text, f"[^{chars[1:]}+")
 
 
+def count_asian(text: Column, chars: str) -> Column:
+    """As count_of for a class from U+1100 on: one range tells texts without any, which is cheaper than a union of ranges."""
+    return F.when(text.rlike("[\u1100-\uffff]"), count_of(text, chars)).when(text.isNotNull(), 0)
+
+
 def profile(text: Column) -> Column:
     """Counts by script over characters that are not white space, and the shares taken from them."""
-    hangul, latin, han = (count_of(text, c) for c in (HANGUL, "[A-Za-z]", HAN))
-    kana = count_of(text, r"[぀-ヿ]")
+    hangul, han, kana = (count_asian(text, c) for c in (HANGUL, HAN, "[\u3040-\u30ff]"))
+    latin = count_of(text, "[A-Za-z]")
     marks = count_of(text, r"[\p{N}\p{P}\p{S}]")
     total = count_without(text, r"(?U)\s+")
     letters = count_without(text, r"\P{L}+")
@@ -71,20 +81,22 @@ def profile(text: Column) -> Column:
 
 def detect_script(text: Column, fallback: Column) -> Column:
     """Language by script: Hangul or kana over 8 % of what counts, then Han against Latin, else the fallback."""
-    n = lambda p: count_of(F.coalesce(text, F.lit("")), p)
-    hangul = n(r"[\p{InHANGUL_SYLLABLES}\p{InHANGUL_JAMO}\p{InHANGUL_COMPATIBILITY_JAMO}]")
-    kana = n(r"[\p{InHIRAGANA}\p{InKATAKANA}]")
-    han = n(r"[\p{InCJK_UNIFIED_IDEOGRAPHS}\p{InCJK_UNIFIED_IDEOGRAPHS_EXTENSION_A}]")
-    latin = n(r"[A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
-    total = hangul + kana + han + latin
-    return (
-        F.when(total == 0, fallback)
-        .when(share(hangul, total) > 0.08, "ko")
-        .when(share(kana, total) > 0.08, "ja")
-        .when((han > 0) & (han >= latin), "zh")
-        .when(latin > 0, "en")
-        .otherwise(fallback)
-    )
+    text = F.coalesce(text, F.lit(""))
+    hangul, kana, han = (count_asian(text, c) for c in ("[\uac00-\ud7af\u1100-\u11ff\u3130-\u318f]", "[\u3040-\u30ff]", "[\u4e00-\u9fff\u3400-\u4dbf]"))
+    latin = F.length(text) - count_without(text, r"[\x00-\xFF&&\p{L}]+")
+
+    def judged(c: Column) -> Column:
+        total = c["hangul"] + c["kana"] + c["han"] + c["latin"]
+        return (
+            F.when(total == 0, fallback)
+            .when(share(c["hangul"], total) > 0.08, "ko")
+            .when(share(c["kana"], total) > 0.08, "ja")
+            .when((c["han"] > 0) & (c["han"] >= c["latin"]), "zh")
+            .when(c["latin"] > 0, "en")
+            .otherwise(fallback)
+        )
+
+    return let(F.struct(hangul.alias("hangul"), kana.alias("kana"), han.alias("han"), latin.alias("latin")), judged)
 
 
 def is_cjk(char: Column) -> Column:

@@ -102,8 +102,8 @@ def dedup_stats(spark, d):
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '\p{L}')) AS letters, coalesce(len(regexp_extract_all(text, '[A-Za-z]'))::DOUBLE / nullif(len(regexp_extract_all(text, '\p{L}')), 0), 0) AS latin_share FROM documents")
 def script_profile(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", t.profile(F.col("text")).alias("p"))
-    return rows.select("doc_id", F.col("p.latin").cast("long").alias("latin"), F.col("p.letters").cast("long").alias("letters"), "p.latin_share")
+    p = t.profile(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", p["latin"].cast("long").alias("latin"), p["letters"].cast("long").alias("letters"), p["latin_share"].alias("latin_share"))
 
 
 SCRIPTS = Rows("doc_id long, text string", (-1, "안녕하세요"), (-2, "こんにちは世界"), (-3, "你好世界"), (-4, "Hello"), (-5, "123 !?"), (-6, None), (-7, "東京"), (-8, "The quick brown fox jumps 안"), (-9, "日本のabc"))

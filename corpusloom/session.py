@@ -78,6 +78,17 @@ def _clean() -> None:
             return
 
 
+#: Tables of long rows, whose work a task shares.
+LONG = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it has fewer partitions than those, as a file of one row group has; else df itself."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG else df

@@ -1,7 +1,8 @@
 """Secret scan with multipart credential linking, with DataFrame functions only.
 
 Base spans (assignments, access keys, long hex runs) stand by themselves. Weak
-candidates (account-like identifiers, mixed tokens, endpoints) are reported only
+candidates (account-like identifiers and e-mail addresses, mixed or upper-case
+tokens, endpoints) are reported only
 where complementary parts co-occur within a scope of SCOPE characters: an
 identifier with a secret, a secret with an identifier, an endpoint with both.
 Base access keys count as identifiers, base assignments and hex runs as secrets.
@@ -33,8 +34,8 @@ BASE = {
 VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 #: Weak candidates, by role.
 WEAK = {
-    "id": r"""(?i:\b(?:client_?id|access_?key_?id|account_?id|user_?name|login))["']?+\x20*+[:=]\x20*+["']?+[A-Za-z0-9_.@-]{3,}+""",
-    "key": r"(?<![A-Za-z0-9+/_=-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9+/_=-])",
+    "id": r"""(?i:\b(?:client_?id|access_?key_?id|account_?id|user_?name|login))["']?+\x20*+[:=]\x20*+["']?+[A-Za-z0-9_.@-]{3,}+|(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++""",
+    "key": r"(?<![A-Za-z0-9+/_=-])(?:(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+=*+|(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{20,}+)(?![A-Za-z0-9+/_=-])",
     "endpoint": r"""(?i:\bhttps?://[a-z0-9.-]++(?::[0-9]++)?+(?:/[A-Za-z0-9._~/-]*+)?+|\b(?:endpoint|host|server|base_?url)["']?+\x20*+[:=]\x20*+["']?+[a-z0-9.:/-]{4,}+)""",
 }
 RANKS = {"assign": 0, "access": 1, "hex": 2, "id": 3, "key": 4, "endpoint": 5}

@@ -87,8 +87,31 @@ def test_empty(spark):
     assert secrets.secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def all_spans(t):
+    """The spans column by brute force."""
+    good = base(t)
+    parts = [(s, k, e) for s, _, e, k in good]
+    weak = []
+    for k, p in secrets.WEAK.items():
+        for m in re.finditer(p.replace("(?:\\G|(?<![A-Za-z0-9._%+-]))", ""), t or ""):
+            if not any(m.start() < e and s < m.end() for s, _, e, _ in good):
+                weak.append((m.start(), k, m.end()))
+    every = parts + weak
+    near = lambda s, role: any(secrets.ROLES[k] == role and abs(x - s) <= secrets.SCOPE for x, k, _ in every)
+    kept = [(s, k, e) for s, k, e in weak if all(near(s, role) for role in secrets.NEEDS[k])]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted((s, secrets.RANKS[k], k, e) for s, k, e in parts + kept))
+
+
+def test_wide_generators(spark):
+    assert weak(spark, "ask ann@db.example.com for secret=abcdefgh") == [("id", "ann@db.example.com")]
+    assert weak(spark, "ask ann@db.example.com") == []
+    assert weak(spark, f"{ID} then {'9233A8' * 4} .") == [("id", ID), ("key", "9233A8" * 4)]
+
+
 def test_query_against_brute_force(spark):
-    sf = "/root/testdata/sf0.001"
-    rows = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
-    got = secrets.op7_secrets(spark, sf).collect()
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    got = secrets.op7_secrets(spark, "/root/testdata/sf0.01").collect()
     assert sorted(tuple(r)[:5] for r in got) == sorted(brute(rows))
+    spans = {i: all_spans(t) for i, t in rows}
+    assert {r.doc_id: r.spans for r in got} == spans
+    assert any(k in x for x in spans.values() for k in secrets.WEAK)

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.layout import ranked
 from corpusloom.session import durable, sent, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_RATE = 3
 #: A table of sources of up to this many rows (about 100 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Sources that are ranked in one task (about 100 bytes each).
+ONE_TASK_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -34,28 +37,46 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_rate: int = MAX_RATE) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_rate: int = MAX_RATE, in_one_task: int = ONE_TASK_SOURCES) -> DataFrame:
     """A row for each source: source, source_size, target.
 
     sizes has source and size. Weights repeat over the sources in code-point
     order. A target is min(max_rate * source_size, level * weight), where level
     shares out the total; it is the fixed point of resharing what is above the
-    caps. The windows run over one row per source.
+    caps. Up to `in_one_task` sources are ranked in windows of one task; more (URLs,
+    say) by a distributed sort, and the level is found by resharing in rounds.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    per = durable(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    few = per.count() <= in_one_task
+    by_source = F.col("source").asc_nulls_last()
+    ranks = per.withColumn("rank", F.row_number().over(Window.orderBy(by_source))) if few else ranked(per, "rank", by_source)
     w = F.array(*[F.lit(x) for x in weights])
-    per = per.withColumn("weight", F.element_at(w, (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
+    per = ranks.withColumn("weight", F.element_at(w, (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")).drop("rank")
     per = per.withColumn("cap", F.col("source_size") * max_rate).withColumn("ratio", F.col("cap") / F.col("weight"))
+    level = _level_in_windows if few else _level_in_rounds
+    return level(per).select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
+
+
+def _level_in_windows(per: DataFrame) -> DataFrame:
+    """per with level: that of the first source, by ratio, that its share does not fill."""
     every = Window.partitionBy()
     upto = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("total", F.sum("source_size").over(every)).withColumn("all_weight", F.sum("weight").over(every))
     left = F.col("total") - F.coalesce(F.sum("cap").over(upto), F.lit(0))
     open_weight = F.col("all_weight") - F.coalesce(F.sum("weight").over(upto), F.lit(0))
-    per = per.withColumn("level", left / open_weight)
-    # The level of the first source, by ratio, that its share does not fill.
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(every).getField("level")
-    return per.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight")).alias("target"))
+    per = per.withColumn("own", left / open_weight)
+    return per.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("own"), F.struct("ratio", "own"))).over(every).getField("own"))
+
+
+def _level_in_rounds(per: DataFrame) -> DataFrame:
+    """As in windows: each round shares what is left among the sources that the level of the round before did not fill."""
+    per = durable(per, "mix-ranked")
+    level, full = 0.0, F.lit(False)
+    while True:
+        total, caps, weight = per.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap")).otherwise(0)), F.sum(F.when(full, 0).otherwise(F.col("weight")))).first()
+        if not weight or (now := (total - caps) / weight) <= level:
+            return per.withColumn("level", F.lit(float(level)))
+        level, full = now, F.col("ratio") < now
 
 
 def planned(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

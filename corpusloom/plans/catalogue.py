@@ -349,7 +349,15 @@ def redistribute_lines(spark, d):
     return rows.select("conv_id", "turn", "role", layout.redistribute(F.col("text"), F.col("lengths")).alias("lines"), layout.redistribute(F.col("text"), F.col("lengths"), strict=True).alias("strict"))
 
 
-@query()
+MARKS = r".!?。！？…\n"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^{MARKS}]*[{MARKS}][ \\t\\n\\x0B\\f\\r]*|[^{MARKS}]+'), lambda p: regexp_replace(p, '([{MARKS}])[ \\t\\n\\x0B\\f\\r]+$', '\\1')), lambda p: p <> '') AS ss FROM documents), "
+    "e AS (SELECT doc_id, list_transform(ss, lambda p: {'n': len(string_split(p, ' ')), 'out': [p]}) AS es FROM s WHERE len(ss) > 0), "
+    "r AS (SELECT doc_id, list_reduce(es, lambda a, x: CASE WHEN a.n + x.n <= 192 THEN {'n': a.n + x.n, 'out': list_concat(a.out[:len(a.out) - 1], [a.out[len(a.out)] || ' ' || x.out[1]])} ELSE {'n': x.n, 'out': list_concat(a.out, x.out)} END).out AS chunks FROM e) "
+    "SELECT doc_id, (i - 1)::INT AS chunk, chunks[i] AS text FROM (SELECT doc_id, chunks, unnest(generate_series(1, len(chunks))) AS i FROM r)"
+)
 def sentence_chunks(spark, d):
     cost = lambda s: F.size(F.split(s, " "))
     return table(spark, d, "documents").select("doc_id", F.posexplode(layout.chunks(t.sentences(F.col("text")), cost)).alias("chunk", "text"))
@@ -405,9 +413,10 @@ def vocab_decode(spark, d):
 
 @query()
 def viterbi_pieces(spark, d):
-    run = udfs.segmenter({"▁hel": -1.0, "lo": -1.5, "▁hello": -2.0, "▁": -3.0, "wor": -2.0, "ld": -2.0, "▁wor": -1.0})
-    rows = spark.createDataFrame([(1, "hello world"), (2, "　ｈｅｌｌｏ"), (3, "  "), (4, None), (5, "help")], "id int, text string")
-    return rows.select("id", run("text").alias("pieces")).withColumn("back", t.pieces_to_text(F.col("pieces")))
+    run = udfs.segmenter({"▁hel": -1.0, "lo": -1.5, "▁hello": -2.0, "▁": -3.0, "wor": -2.0, "ld": -2.0, "▁wor": -1.0, "er": -2.5, "▁the": -2.0, "in": -2.5, "ti": -2.5, "on": -2.2})
+    fixed = spark.createDataFrame([(-1, 0, "", "hello world"), (-2, 0, "", "　ｈｅｌｌｏ"), (-3, 0, "", "  "), (-4, 0, "", None), (-5, 0, "", "help")], "conv_id long, turn int, role string, text string")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text").unionByName(fixed)
+    return rows.select("conv_id", "turn", "role", run("text").alias("pieces")).withColumn("back", t.pieces_to_text(F.col("pieces")))
 
 
 HAVE = Rows("src string, tgt string", ("en", "ja"), ("ja", "en"), ("en", "zh"), ("zh", "en"))
@@ -536,7 +545,17 @@ def score_pivot(spark, d):
     return metrics.score_pivot(rows, "source", "lang", "n", ["de", "en", "es", "fr"])
 
 
-@query()
+@query(
+    f"WITH {TURNS}, r AS (SELECT row_number() OVER () AS id, conv_id % 3 AS fold, regexp_extract_all(coalesce(ko, ''), '{NO_SPACE}+') AS h, regexp_extract_all(coalesce(en, ''), '{NO_SPACE}+') AS g FROM t), "
+    "s AS (SELECT id, fold, 'h' AS side, h AS ws, array_to_string(h, '') AS cs FROM r UNION ALL SELECT id, fold, 'g', g, array_to_string(g, '') FROM r), "
+    "w AS (SELECT id, fold, side, 'w' AS kind, n, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM s, generate_series(1, 4) o(n))), "
+    "k AS (SELECT id, fold, side, 'c' AS kind, n, substr(cs, i, n) AS gram FROM (SELECT *, unnest(generate_series(1, length(cs) - n + 1)) AS i FROM s, generate_series(1, 6) o(n))), "
+    "c AS (SELECT id, fold, kind, n, gram, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'g') AS g FROM (SELECT * FROM w UNION ALL SELECT * FROM k) GROUP BY ALL), "
+    "m AS (SELECT fold, kind, n, sum(least(h, g))::DOUBLE AS m, sum(h)::DOUBLE AS h, sum(g)::DOUBLE AS g FROM c GROUP BY ALL), "
+    "b AS (SELECT fold, CASE WHEN count(*) FILTER (m > 0) = 4 THEN 100 * exp(sum(ln(CASE WHEN m > 0 THEN m / h END)) / 4 + least(0, 1 - max(g) FILTER (n = 1) / max(h) FILTER (n = 1))) ELSE 0 END AS bleu FROM m WHERE kind = 'w' GROUP BY fold), "
+    "f AS (SELECT fold, 100 * sum(coalesce(5 * (m / nullif(h, 0)) * (m / nullif(g, 0)) / nullif(4 * (m / nullif(h, 0)) + m / nullif(g, 0), 0), 0)) / 8 AS chrf FROM m WHERE kind = 'c' OR n <= 2 GROUP BY fold) "
+    "SELECT fold, round(coalesce(bleu, 0), 2) AS bleu, round(coalesce(chrf, 0), 2) AS chrf, n FROM (SELECT fold, count(*) AS n FROM r GROUP BY fold) LEFT JOIN b USING (fold) LEFT JOIN f USING (fold)"
+)
 def corpus_scores(spark, d):
     rows = _turns(spark, d).select((F.col("conv_id") % 3).alias("fold"), F.col("ko").alias("hyp"), F.col("en").alias("ref"))
     return metrics.corpus_scores(rows, ["fold"])

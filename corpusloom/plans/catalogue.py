@@ -69,11 +69,26 @@ def normalize_ws(spark, d):
     return table(spark, d, "documents").select("doc_id", t.clean(F.col("text")).alias("clean"))
 
 
-@query()
+WIDE = Rows("doc_id long, text string", (-1, "Ｈｅｌｌｏ　 wörld​"), (-2, "a\rb\x07 ①"), (-3, None), (-4, "ﬁne ½ Å"), (-5, "x²"))
+#: Compatibility characters of the fixed rows; the documents hold none, nor letters that are not composed.
+COMPATIBLE = (("Ｈ", "H"), ("ｅ", "e"), ("ｌ", "l"), ("ｏ", "o"), ("　", " "), ("①", "1"), ("ﬁ", "fi"), ("½", "1⁄2"), ("\u212b", "\u00c5"), ("²", "2"))
+
+
+def _compatible(text: str) -> str:
+    for a, b in COMPATIBLE:
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+@query(f"WITH {WIDE.sql('w')}, r AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM w) SELECT doc_id, {CLEAN.format(_compatible('text'))} AS normal FROM r")
 def normalize_nfkc(spark, d):
-    more = spark.createDataFrame([(-1, "Ｈｅｌｌｏ　 wörld​"), (-2, "a\rb\x07 ①"), (-3, None)], "doc_id long, text string")
-    rows = table(spark, d, "documents").select("doc_id", "text").unionByName(more)
-    return rows.select("doc_id", udfs.normalize(F.col("text")).alias("normal"), udfs.blake64("text").alias("h64"))
+    rows = table(spark, d, "documents").select("doc_id", "text").unionByName(WIDE.df(spark))
+    return rows.select("doc_id", udfs.normalize(F.col("text")).alias("normal"))
+
+
+@query()
+def blake_keys(spark, d):
+    return table(spark, d, "documents").select("doc_id", udfs.blake64("text").alias("h64"))
 
 
 GLUED = Rows("id int, text string", (1, "파일 크기Name"), (2, "열기.Comment"), (3, "Open Name"), (4, "닫기)GenericName"), (5, "NameName"), (6, "끝?Keywords"), (7, ""))

@@ -298,3 +298,21 @@ def test_ranks_and_reports(spark):
     scores = spark.createDataFrame([("b", 1.5, None), ("a", 2.0, 3.0)], "key string, m double, n double")
     doc = json.loads(rules.report_json(scores, spark.createDataFrame([("x", "z")], "source string, reference string"), ["m", "n"]))
     assert doc["scores"] == {"a": {"m": 2.0, "n": 3.0}, "b": {"m": 1.5}} and doc["samples"] == [{"source": "x", "reference": "z"}]
+
+
+def test_hashes_against_brute_force(spark):
+    import hashlib
+
+    from corpusloom.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in catalogue.QUERIES["blake_keys"](spark, sf).collect():
+        assert int(r.h64) == int.from_bytes(hashlib.blake2b(texts[r.doc_id].encode(), digest_size=8).digest(), "big")
+
+    def key(x):
+        cut = "".join(c for c in unicodedata.normalize("NFKC", x) if not (ord(c) < 9 or 10 < ord(c) < 32 or ord(c) in (127, 0x2028, 0x2029, 0xFEFF) or 0x200B <= ord(c) <= 0x200F))
+        return int(hashlib.md5(" ".join(cut.split()).casefold().encode()).hexdigest()[:15], 16)
+
+    for r in catalogue.QUERIES["side_keys"](spark, sf).collect():
+        assert r.side_key == key(texts[r.doc_id])

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.batches import lean
 from corpusloom.llm.labels import fold, sample
 from corpusloom.session import table
 
@@ -167,14 +168,14 @@ def _model(docs: DataFrame, labels: DataFrame, fit_rows: int) -> list[np.ndarray
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score; ids whose crc32 mod 3 is 1 are held out of the fit."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(_scored(_model(docs, labels, fit_rows)), "doc_id long, held_out boolean, score double")
+    return rows.mapInArrow(lean(_scored(_model(docs, labels, fit_rows))), "doc_id long, held_out boolean, score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs whose score is at least `least`, with their columns, of any name."""
     row = F.struct(*[docs[c] for c in docs.columns])
     rows = docs.select(row.alias("row"), docs["text"].alias("text"))
-    found = rows.mapInArrow(_scored(_model(docs, labels, fit_rows)), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    found = rows.mapInArrow(lean(_scored(_model(docs, labels, fit_rows))), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
     return found.where(F.col("score") >= least).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import parts
+from corpusloom.llm.batches import lean, parts
 from corpusloom.llm.components import components
 from corpusloom.session import durable, sent, table
 
@@ -79,7 +79,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, text_key (a hash of the text), fp (long) for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(_fingerprints, "doc_id long, text_key long, fp long")
+    return rows.mapInArrow(lean(_fingerprints), "doc_id long, text_key long, fp long")
 
 
 def _stars(fp: np.ndarray) -> list[tuple[int, int]]:

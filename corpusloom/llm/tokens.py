@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import parts
+from corpusloom.llm.batches import lean, parts
 from corpusloom.llm.rans import EVERY, LANES, Coder, quantized
 from corpusloom.session import durable, shared_path, table
 
@@ -242,7 +242,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    temp = durable(dealt.mapInArrow(_tokenized(tokenizer or default_tokenizer(), end_id, split_safe, block, pieces, chars), TEMP), "token-blocks")
+    temp = durable(dealt.mapInArrow(lean(_tokenized(tokenizer or default_tokenizer(), end_id, split_safe, block, pieces, chars)), TEMP), "token-blocks")
     counts = temp.select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     per = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
     for r in counts:
@@ -250,7 +250,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     freq, bits = quantized(per)
     used = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(used, "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
-    temp.drop("counts").mapInArrow(_encoded(freq, bits), BLOCKS).write.parquet(f"{path}/blocks")
+    temp.drop("counts").mapInArrow(lean(_encoded(freq, bits)), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> tuple[np.ndarray, int]:
@@ -303,7 +303,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     order = Window.partitionBy("shard").orderBy("block")
     starts = blocks.select("shard", "block", "n_ids").withColumn("within", F.sum("n_ids").over(order) - F.col("n_ids")).join(per_shard, "shard").select("shard", "block", (F.col("before") + F.col("within")).alias("first"))
     schema = "shard int, block int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    docs = blocks.mapInArrow(_documents(freq, bits, with_ids), schema).join(starts, ["shard", "block"])
+    docs = blocks.mapInArrow(lean(_documents(freq, bits, with_ids)), schema).join(starts, ["shard", "block"])
     return docs.select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

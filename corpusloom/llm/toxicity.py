@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import lean
 from corpusloom.llm.labels import fold, sample
 from corpusloom.session import table
 
@@ -157,7 +158,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     """doc_id, held_out, score; ids whose crc32 mod 5 is 0 are held out of the fit."""
     model = fitted(*sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, fit_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(_scored(*model), "doc_id long, held_out boolean, score double")
+    return rows.mapInArrow(lean(_scored(*model)), "doc_id long, held_out boolean, score double")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

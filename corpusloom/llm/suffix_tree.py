@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.batches import parts
+from corpusloom.llm.batches import lean, parts
 from corpusloom.session import durable, table
 
 DEPTH = 6
@@ -133,7 +133,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gathered(train: DataFrame) -> DataFrame:
     """word or gram, and n: partial counts of each task."""
-    return durable(train.select("text").mapInArrow(_gathered, "word binary, gram long, n long"), "pst-counts")
+    return durable(train.select("text").mapInArrow(lean(_gathered), "word binary, gram long, n long"), "pst-counts")
 
 
 class Tree:
@@ -384,12 +384,13 @@ class Kept:
 def kept_pieces(counts: DataFrame, most: int = PIECE) -> tuple[int, Iterator[Kept]]:
     """Number of pieces of the tree, and the pieces, each gathered when it is asked for."""
     spark = counts.sparkSession
-    grams = durable(counts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "pst-grams")
+    # A task's grams differ already: dealing them first spares an aggregate before the shuffle that merges nothing.
+    grams = durable(counts.where("gram is not null").select("gram", "n").repartition("gram").groupBy("gram").agg(F.sum("n").alias("n")), "pst-grams")
     root, shallow, last = _shallow(grams)
     deep = grams.where(F.col("gram").bitwiseAND(F.lit(7)) >= TAIL)
     tail = F.shiftrightunsigned("gram", 11).bitwiseAND(F.lit((1 << 8 * TAIL) - 1)).cast("int")
     dealt = deep.select(tail.alias("tail"), "gram", "n").repartition("tail").sortWithinPartitions("tail")
-    tree = durable(dealt.mapInArrow(_grown(spark.sparkContext.broadcast(last)), "tail int, d int, weight boolean, code long, value float"), "pst-tree")
+    tree = durable(dealt.mapInArrow(lean(_grown(spark.sparkContext.broadcast(last))), "tail int, d int, weight boolean, code long, value float"), "pst-tree")
     piece_of, number, size = np.zeros(1 << 8 * TAIL, np.int32), 0, 0
     for r in tree.groupBy("tail").count().orderBy("tail").collect():  # at most 65,536
         if size and size + r["count"] > most:
@@ -472,12 +473,12 @@ def scored(docs: DataFrame, held_out, hot_words: int = HOT_WORDS, piece: int = P
     if n_pieces > 1:  # the passes must agree on the numbers
         numbered = durable(numbered, "pst-rows")
     tree = spark.sparkContext.broadcast(next(pieces))
-    each = durable(numbered.mapInArrow(_scored(tree, spark.sparkContext.broadcast(hot)), schema), "pst-scores")
+    each = durable(numbered.mapInArrow(lean(_scored(tree, spark.sparkContext.broadcast(hot))), schema), "pst-scores")
     further = None
     for k in pieces:
         tree.destroy()
         tree = spark.sparkContext.broadcast(k)
-        part = durable(numbered.select("row", "text").mapInArrow(_part_scored(tree), "row long, score double"), "pst-scores")
+        part = durable(numbered.select("row", "text").mapInArrow(lean(_part_scored(tree)), "row long, score double"), "pst-scores")
         further = part if further is None else further.unionAll(part)
     if further is not None:
         more = further.groupBy("row").agg(F.sum("score").alias("others"))

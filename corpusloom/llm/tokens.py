@@ -45,10 +45,10 @@ from corpusloom.session import durable, shared_path, table
 BLOCK = 1 << 19
 END_ID = 1
 #: Pieces in one of the two generations that a worker keeps: about 200 bytes each.
-CACHE = 600_000
+CACHE = 700_000
 PIECE = 64
 #: Bytes of the documents that are encoded in one go (or one document): their different pieces are looked up once.
-CHARS = 1 << 23
+CHARS = 12 << 20
 
 TEMP = "shard int, block int, doc_ids array<long>, doc_lens array<int>, ids binary, counts array<struct<id:int,n:long>>"
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, doc_lens array<int>, words binary, checkpoints array<struct<step:int,offset:int,states:binary>>, words_crc32 long, ids_crc32 long"
@@ -132,8 +132,11 @@ class Encoder:
         if self.simple:  # A-Z only
             lowered = pc.ascii_lower(made)
             made = pc.if_else(pc.match_substring(made, "<|"), made, lowered)
+            del lowered
         cut = pc.split_pattern(pc.replace_substring(made, "\n", " "), " ")
-        words = cut.flatten().dictionary_encode()
+        del made
+        bounds, words = cut.offsets.to_numpy() - cut.offsets[0].as_py(), cut.flatten().dictionary_encode()
+        del cut
         codes = list(map(self.pieces.__getitem__, words.dictionary.to_pylist()))
         width = array(self.kind).itemsize
         sizes = np.fromiter(map(len, codes), np.int32, len(codes)) // width
@@ -149,8 +152,10 @@ class Encoder:
         # Of each word's ids the place in ids, less the place in the texts.
         at = np.repeat(((np.cumsum(sizes, dtype=np.int64) - sizes)[which] - (ends - n)).astype(np.int32 if len(ends) and ends[-1] < 1 << 31 and len(ids) < 1 << 31 else np.int64), n)
         at += np.arange(len(at), dtype=at.dtype)
+        del words, which, n
         data = ids[at].tobytes()
-        cuts = (np.append(0, ends)[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * width).tolist()
+        del at
+        cuts = (np.append(0, ends)[bounds] * width).tolist()
         return [data[i:j] for i, j in zip(cuts, cuts[1:])]
 
 

@@ -145,7 +145,8 @@ class Scorer:
         if not texts:
             return np.zeros(0)
         bags = [encoded(t, self.shapes) for t in texts]
-        return self.model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1])[-1]
+        # The last bits depend on what else is in the product.
+        return np.round(self.model.forward(np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1])[-1], 12)
 
 
 def _scored(parameters: list[np.ndarray]):

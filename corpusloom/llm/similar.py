@@ -1,17 +1,25 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash, for similarities that a fingerprint of 64 bits cannot reach.
 
 Two rows are linked where their sets of shingles (of `words` words; a shorter
 text is one shingle) have a Jaccard similarity of `similarity` or more. Pairs are
-met by MinHash: BANDS keys of ROWS minima each; a pair at 0.8 shares no key, and
-is missed, with probability (1 - 0.8 ** ROWS) ** BANDS, 1.3e-5, and less above.
-Every link is verified on the whole sets.
-
-Rows of equal sets are folded before. Sets that share a key form a bucket. Each
-is first compared with the leader of its bucket, the set that meets the most
-others; these links join nearly all there is to join. Where a bucket still holds
-several components, its sets are compared across them within a task, so that no
-pairs are written but links. A bucket of more than CHUNK_GRAMS shingles is cut
-into chunks, and each pair of chunks is a task of its own.
+met by SimHash: a bit is 1 if it is set in over half of the hashes of a set's
+shingles. Two sets at 0.8 agree on a bit with a probability of 0.839 or more (by
+exact sums over small sets; 0.849 for large ones), too little for distances of
+a few bits, so fingerprints have TABLES blocks of BLOCK bits. Rows meet where a
+whole block is equal, and stay together where the first CHECKED words differ in
+at most DISTANCE bits. By the binomial formula a pair at 0.8 is missed with a
+probability of 1.1e-5, and less above. Sets of four and five shingles agree on a
+bit with a probability of 0.8125 only: sets of at most FEW have FEW_TABLES blocks,
+and 1.4e-5 of such pairs are missed. Every link is verified on the whole sets.
+
+Rows of equal sets are folded before. Within a bucket, the sets of equal block,
+those that chains of distances up to DISTANCE connect form a group; a group that
+several buckets give counts once. Each set is first compared with the leader of
+its largest group, the set that meets the most others; these links join nearly
+all there is to join. Where a group still holds several components, its sets are compared
+across them within a task, so that no pairs are written but links. A group of
+more than CHUNK_GRAMS shingles is cut into chunks, and each pair of chunks is a
+task of its own.
 
 Cases: null and empty texts have the empty set and are copies of each other;
 null ids take part, but a component bears the smallest id that is not null;
@@ -33,16 +41,23 @@ from corpusloom.llm.components import components
 from corpusloom.session import durable, sent
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
-BANDS, ROWS = 48, 7
-#: Shingles that are permuted at once, and words whose hashes a task keeps.
-CHUNK, CACHE = 1 << 8, 200_000
-#: Shingles in a chunk of a bucket.
+#: Bits of a block, blocks of a set, and of a set of at most FEW shingles.
+BLOCK, TABLES, FEW, FEW_TABLES = 14, 128, 5, 224
+#: Words of 64 bits whose Hamming distance is taken, and the most bits in which they may differ.
+CHECKED, DISTANCE = 3, 60
+#: Parts that a block's values are dealt to, and sets that are dealt at once.
+SLOTS, DEALT = 64, 4096
+#: Sets of a bucket up to which all pairs are compared at once; beyond, one against those that are left.
+ALL_PAIRS = 256
+#: Shingles whose bits are added at once (at most 255), and words whose hashes a task keeps.
+CHUNK, CACHE = 128, 200_000
+#: Shingles in a chunk of a group.
 CHUNK_GRAMS = 1 << 20
 #: Documents whose keys (24 bytes) are broadcast; beyond, joins shuffle.
 BROADCAST_KEYS = 1_000_000
 _random = np.random.RandomState(SEED)
-_TIMES = (_random.randint(0, 1 << 31, (BANDS * ROWS, 1), np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_PLUS = _random.randint(0, 1 << 32, (BANDS * ROWS, 1), np.int64).astype(np.uint32)
+_PLUS, _TIMES = _random.randint(0, 1 << 63, (2, FEW_TABLES * BLOCK // 64), np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+_ENTRY = np.dtype([("key", "<u2"), ("set_key", "<i8"), ("bits", "<u8", (CHECKED,))])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,17 +88,136 @@ def shingles(text: str | None, words: int = WORDS, hashes: _Hashes | None = None
     return np.unique(h)
 
 
-def bands(grams: np.ndarray) -> np.ndarray:
-    """BANDS keys of a set that is not empty."""
-    from xxhash import xxh64_intdigest
+def fingerprint(grams: np.ndarray) -> bytes:
+    """SimHash of a set that is not empty: TABLES blocks of BLOCK bits, or FEW_TABLES, of which the first are the same."""
+    plus, times = (x[: (FEW_TABLES if len(grams) <= FEW else TABLES) * BLOCK // 64] for x in (_PLUS, _TIMES))
+    ones = np.zeros(64 * len(plus), np.int32)
+    for at in range(0, len(grams), CHUNK):
+        h = (grams[at : at + CHUNK, None] ^ plus) * times
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        h ^= h >> np.uint64(32)
+        ones += np.unpackbits(h.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(grams)).tobytes()
+
+
+def blocks(prints: np.ndarray) -> np.ndarray:
+    """Values of the blocks of fingerprints of one length (rows of bytes)."""
+    bits = np.unpackbits(prints, axis=1).reshape(len(prints), -1, BLOCK)
+    out = np.zeros(bits.shape[:2], np.uint16)
+    for i in range(BLOCK):
+        out |= bits[:, :, i].astype(np.uint16) << np.uint16(i)
+    return out
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (set_key, print): for each block and part of its values the entries, packed."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, DEALT):
+            b = whole.slice(at, DEALT)
+            keys, prints = b.column("set_key").to_numpy(), b.column("print").to_pylist()
+            size = np.fromiter(map(len, prints), np.int64, len(prints))
+            for n in np.unique(size[size > 0]).tolist():
+                some = np.flatnonzero(size == n)
+                flat = np.frombuffer(b"".join([prints[i] for i in some.tolist()]), np.uint8).reshape(-1, n)
+                values, entries = blocks(flat), np.empty(len(some), _ENTRY)
+                entries["set_key"] = keys[some]
+                entries["bits"] = np.ascontiguousarray(flat[:, : 8 * CHECKED]).view("<u8")
+                for t in range(values.shape[1]):
+                    slot = values[:, t] % SLOTS
+                    order = np.argsort(slot, kind="stable")
+                    entries["key"] = values[:, t]
+                    slot, first = np.unique(slot[order], return_index=True)
+                    ends = np.append(first, len(some)).astype(np.int32) * np.int32(_ENTRY.itemsize)
+                    packed = pa.Array.from_buffers(pa.binary(), len(slot), [None, pa.py_buffer(ends), pa.py_buffer(entries[order].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), t, np.int32)), pa.array(slot.astype(np.int32)), packed], names=["t", "slot", "entries"])
+
+
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= DISTANCE
+
+
+def _grouped(entries: np.ndarray, all_pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that have another of the same key within DISTANCE, and the group of each, as the number of an entry."""
+    n = len(entries)
+    key, bits = np.ascontiguousarray(entries["key"]), np.ascontiguousarray(entries["bits"])
+    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [n]))
+    sizes = np.diff(starts)
+    ends = np.repeat(starts[1:], sizes)
+    left = np.flatnonzero(np.repeat(sizes, sizes) <= all_pairs)
+    us, vs, d = [], [], 0
+    while True:
+        d += 1
+        left = left[left + d < ends[left]]
+        if not len(left):
+            break
+        u = left[_close(bits[left], bits[left + d])]
+        us.append(u)
+        vs.append(u + d)
+    for at, size in zip(starts[:-1][sizes > all_pairs].tolist(), sizes[sizes > all_pairs].tolist(), strict=True):
+        rest = np.arange(at, at + size)
+        todo: list[int] = []
+        while len(rest):
+            if not todo:
+                todo, rest = [int(rest[0])], rest[1:]
+            x = todo.pop()
+            near = _close(bits[rest], bits[x])
+            found, rest = rest[near], rest[~near]
+            us.append(np.full(len(found), x))
+            vs.append(found)
+            todo += found.tolist()
+    u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+    group = np.arange(n)
+    while (group[u] != group[v]).any():
+        least = np.minimum(group[u], group[v])
+        np.minimum.at(group, u, least)
+        np.minimum.at(group, v, least)
+        group = group[group]
+    some = np.unique(np.concatenate((u, v)))
+    return some, group[some]
+
+
+def _groups(all_pairs: int):
+    """Rows (t, slot, entries) sorted by (t, slot): key, set_key and n for each set of a group of n; the key is of the group's sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            entries = np.frombuffer(b"".join(held), _ENTRY)
+            held.clear()
+            if len(entries) < 2:
+                return
+            entries = entries[np.argsort(entries["key"], kind="stable")]
+            some, group = _grouped(entries, all_pairs)
+            if len(some):
+                sets = entries["set_key"][some]
+                h = sets.view(np.uint64) * _MIX
+                h = (h ^ h >> np.uint64(32)) * _MIX
+                h ^= h >> np.uint64(29)
+                order = np.argsort(group, kind="stable")
+                sets, h, group = sets[order], h[order], group[order]
+                first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+                n = np.diff(np.append(first, len(group)))
+                key = np.add.reduceat(h, first).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)), pa.array(sets), pa.array(np.repeat(n, n))], names=["key", "set_key", "n"])
+
+        for b in batches:
+            ts, slots, packed = b.column("t").to_pylist(), b.column("slot").to_pylist(), b.column("entries")
+            for i in range(b.num_rows):
+                if (at := (ts[i], slots[i])) != now:
+                    yield from flush()
+                    now = at
+                held.append(packed[i].as_py())
+        yield from flush()
+
+    return run
+
 
-    short = (grams >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(short), CHUNK):
-        h = short[at : at + CHUNK] * _TIMES
-        h += _PLUS
-        np.minimum(least, h.min(1), out=least)
-    return np.array([xxh64_intdigest(x.tobytes(), t) for t, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def groups(prints: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """key, set_key, n: the groups in which the sets (set_key, print: a fingerprint; other columns are not read) meet."""
+    dealt = prints.select("set_key", "print").mapInArrow(lean(_dealt), "t int, slot int, entries binary").repartition("t", "slot").sortWithinPartitions("t", "slot")
+    return durable(dealt.mapInArrow(lean(_groups(all_pairs)), "key long, set_key long, n long").distinct(), "similar-met")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -91,7 +225,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _keyed(words: int):
-    """Keys of the set of each row's text and of its bands."""
+    """Key and fingerprint of the set of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -99,9 +233,9 @@ def _keyed(words: int):
         hashes = _Hashes()
         for b in (x for whole in batches for x in parts(whole)):
             sets = (shingles(t, words, hashes) for t in b.column("text").to_pylist())
-            found = [(xxh64_intdigest(s.tobytes()), bands(s)) if len(s) else (0, np.zeros(0, np.int64)) for s in sets]
+            found = [(xxh64_intdigest(s.tobytes()), fingerprint(s)) if len(s) else (0, b"") for s in sets]
             keys = np.array([k for k, _ in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(keys), _lists([x for _, x in found])], names=["doc_id", "text_key", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(keys), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "text_key", "set_key", "print"])
 
     return run
 
@@ -184,7 +318,7 @@ def _members(docs: DataFrame, some: DataFrame, words: int) -> DataFrame:
 
 
 def _across(met: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, chunk_grams: int) -> DataFrame:
-    """Links between sets of a bucket that links do not connect."""
+    """Links between sets of a group (key) that links do not connect."""
     rooted = durable(met.select("key", "set_key").join(_roots(links), "set_key", "left").withColumn("root", F.coalesce("root", "set_key")).join(sets.select("set_key", F.size("grams").alias("size")), "set_key"), "similar-rooted")
     several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.sum("size") / chunk_grams).cast("int").alias("chunks")).where("least < most")
     several = durable(several.select("key", "chunks"), "similar-several")
@@ -202,16 +336,15 @@ def _roots(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, chunk_grams: int = CHUNK_GRAMS) -> DataFrame:
     """doc_id, text_key, component_id, keeper for each row of docs, as simhash.near_duplicates."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    rows = durable(docs.mapInArrow(lean(_keyed(words)), "doc_id long, text_key long, set_key long, bands array<long>"), "similar-rows")
+    rows = durable(docs.mapInArrow(lean(_keyed(words)), "doc_id long, text_key long, set_key long, print binary"), "similar-rows")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    distinct = durable(rows.groupBy("set_key").agg(F.min(row).alias("least"), F.first("bands").alias("bands")), "similar-distinct")
-    keyed = distinct.select("set_key", F.explode("bands").alias("key"))
-    buckets = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "similar-buckets")
-    met = durable(keyed.join(sent(buckets), "key"), "similar-met")
+    distinct = durable(rows.groupBy("set_key").agg(F.min(row).alias("least"), F.first("print").alias("print")), "similar-distinct")
+    met = groups(distinct)
     degree = durable(met.groupBy("set_key").agg(F.sum("n").alias("degree")), "similar-degrees")
-    met = durable(met.select("key", "set_key").join(degree, "set_key"), "similar-ranked")
-    leaders = durable(met.groupBy("key").agg(F.max(F.struct("degree", "set_key")).alias("first")).select("key", F.col("first.set_key").alias("v")), "similar-leaders")
-    pairs = durable(met.join(leaders, "key").where("set_key <> v").select(F.col("set_key").alias("u"), "v").distinct(), "similar-pairs")
+    ranked = durable(met.join(degree, "set_key"), "similar-ranked")
+    leaders = durable(ranked.groupBy("key").agg(F.max(F.struct("degree", "set_key")).alias("first")).select("key", F.col("first.set_key").alias("v")), "similar-leaders")
+    largest = durable(met.groupBy("set_key").agg(F.max(F.struct("n", "key")).alias("most")).select(F.col("set_key").alias("u"), F.col("most.key").alias("key")), "similar-largest")
+    pairs = durable(largest.join(leaders, "key").where("u <> v").select("u", "v"), "similar-pairs")
     sets = _members(docs, distinct.select("set_key", "least").join(degree, "set_key", "left_semi"), words)
     links = _verified(pairs, sets, similarity)
     links = links.unionAll(_across(met, links, sets, similarity, chunk_grams))

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from corpusloom.llm import similar
 
@@ -90,3 +92,45 @@ def test_stage_leaves_no_similar_pair(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = [(x.doc_id, x.text) for x in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()]
     assert pairs(kept) == []
+
+
+def test_sets_meet_by_simhash(spark):
+    texts = sorted({t for _, t in fixture() if t and t.split()} | {"a b c d e f g h", "a b c d e f g h i"})
+    hashes = [similar.shingles(t) for t in texts]
+    prints = [similar.fingerprint(h) for h in hashes]
+    assert {len(p) * 8 for p in prints} == {128 * 14, 224 * 14}
+    bits = [np.unpackbits(np.frombuffer(p, np.uint8)) for p in prints]
+    for h, x in zip(hashes, bits, strict=True):  # a bit is the majority of the shingles' bits
+        each = np.array([np.unpackbits(np.frombuffer(similar.fingerprint(h[i : i + 1]), np.uint8))[: len(x)] for i in range(len(h))])
+        assert (x == (2 * each.sum(0, dtype=int) > len(h))).all()
+    near = {i: set() for i in range(len(texts))}
+    values = [[x[at : at + 14].tobytes() for at in range(0, len(x), 14)] for x in bits]
+    for i, j in combinations(range(len(texts)), 2):
+        if (bits[i][:192] != bits[j][:192]).sum() <= 60 and any(a == b for a, b in zip(values[i], values[j])):
+            near[i].add(j)
+            near[j].add(i)
+    assert all(j in near[i] for i, j in pairs(list(enumerate(texts))))  # SimHash meets every similar pair here
+    want = set()  # chains of near sets within each bucket
+    for t in range(224):
+        buckets = {}
+        for i, v in enumerate(values):
+            if t < len(v):
+                buckets.setdefault(v[t], set()).add(i)
+        for left in buckets.values():
+            while left:
+                todo = [left.pop()]
+                group = set(todo)
+                while todo:
+                    found = near[todo.pop()] & left
+                    left -= found
+                    group |= found
+                    todo += found
+                if len(group) > 1:
+                    want.add(frozenset(group))
+    df = spark.createDataFrame([*enumerate(map(bytearray, prints)), (-1, bytearray())], "set_key long, print binary").repartition(3)
+    for most in (similar.ALL_PAIRS, 1):  # 1: every bucket goes the way of large ones
+        got = {}
+        for r in similar.groups(df, most).collect():
+            got.setdefault((r.key, r.n), set()).add(r.set_key)
+        assert all(n == len(g) for (_, n), g in got.items())
+        assert {frozenset(g) for g in got.values()} == want and len(got) == len(want)

@@ -15,11 +15,15 @@ and 1.4e-5 of such pairs are missed. Every link is verified on the whole sets.
 Rows of equal sets are folded before. Within a bucket, the sets of equal block,
 those that chains of distances up to DISTANCE connect form a group; a group that
 several buckets give counts once. Each set is first compared with the leader of
-its largest group, the set that meets the most others; these links join nearly
-all there is to join. Where a group still holds several components, its sets are compared
-across them within a task, so that no pairs are written but links. A group of
-more than CHUNK_GRAMS shingles is cut into chunks, and each pair of chunks is a
-task of its own.
+its largest group, the set nearest to the majority of the group's bits (the leader
+with the next one); these links join most of what there is to join. A set may
+have more links only if sets of other components hold the share `similarity` of
+its shingles; that is counted, and drops most sets. What is left meets again, and
+groups that share a set, or a component, are one: each set is in one group, however
+many buckets it shares with its copies. Where such a group holds several components, its sets are
+compared across them within tasks, so that no pairs are written but links. A group
+is cut into chunks, by its share of all shingles and so that no chunk has more than
+CHUNK_GRAMS, and each pair of chunks is a task of its own.
 
 Cases: null and empty texts have the empty set and are copies of each other;
 null ids take part, but a component bears the smallest id that is not null;
@@ -51,13 +55,16 @@ SLOTS, DEALT = 64, 4096
 ALL_PAIRS = 256
 #: Shingles whose bits are added at once (at most 255), and words whose hashes a task keeps.
 CHUNK, CACHE = 128, 200_000
-#: Shingles in a chunk of a group.
-CHUNK_GRAMS = 1 << 20
+#: Shingles in a chunk of a group, and in one that is not worth cutting.
+CHUNK_GRAMS, FINE_GRAMS = 1 << 20, 1 << 14
+#: Parts that shingles are dealt to, at least, shingles of a part beyond, and shingles that are dealt at once; times that sets without a counterpart are dropped.
+GRAM_SLOTS, SLOT_GRAMS, DEALT_GRAMS, ROUNDS = 64, 1 << 20, 1 << 18, 2
 #: Documents whose keys (24 bytes) are broadcast; beyond, joins shuffle.
 BROADCAST_KEYS = 1_000_000
 _random = np.random.RandomState(SEED)
 _PLUS, _TIMES = _random.randint(0, 1 << 63, (2, FEW_TABLES * BLOCK // 64), np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
 _ENTRY = np.dtype([("key", "<u2"), ("set_key", "<i8"), ("bits", "<u8", (CHECKED,))])
+_GRAM = np.dtype([("gram", "<u8"), ("root", "<i8"), ("set_key", "<i8")])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,8 +184,20 @@ def _grouped(entries: np.ndarray, all_pairs: int) -> tuple[np.ndarray, np.ndarra
     return some, group[some]
 
 
+def _central(sets: np.ndarray, bits: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each set the one of its group that is nearest to the majority of the group's bits; for that one the next. Groups of n follow each other."""
+    far = np.zeros(len(sets), np.int64)
+    for word in np.ascontiguousarray(bits.T):
+        each = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1)
+        most = np.packbits(np.add.reduceat(each, first, axis=0, dtype=np.int32) * 2 > n[:, None], axis=1).view(np.uint64).ravel()
+        far += np.bitwise_count(word ^ np.repeat(most, n))
+    order = np.lexsort((sets, far, np.repeat(np.arange(len(n)), n)))
+    leader, following = (np.repeat(sets[order[x]], n) for x in (first, first + 1))
+    return np.where(sets == leader, following, leader)
+
+
 def _groups(all_pairs: int):
-    """Rows (t, slot, entries) sorted by (t, slot): key, set_key and n for each set of a group of n; the key is of the group's sets."""
+    """Rows (t, slot, entries) sorted by (t, slot): key, set_key, n and other (as _central) for each set of a group of n; the key is of the group's sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -200,7 +219,8 @@ def _groups(all_pairs: int):
                 first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
                 n = np.diff(np.append(first, len(group)))
                 key = np.add.reduceat(h, first).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)), pa.array(sets), pa.array(np.repeat(n, n))], names=["key", "set_key", "n"])
+                other = _central(sets, entries["bits"][some][order], first, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, n)), pa.array(sets), pa.array(np.repeat(n, n)), pa.array(other)], names=["key", "set_key", "n", "other"])
 
         for b in batches:
             ts, slots, packed = b.column("t").to_pylist(), b.column("slot").to_pylist(), b.column("entries")
@@ -215,9 +235,9 @@ def _groups(all_pairs: int):
 
 
 def groups(prints: DataFrame, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """key, set_key, n: the groups in which the sets (set_key, print: a fingerprint; other columns are not read) meet."""
+    """key, set_key, n, other: the groups in which the sets (set_key, print: a fingerprint; other columns are not read) meet, and whom each set meets first."""
     dealt = prints.select("set_key", "print").mapInArrow(lean(_dealt), "t int, slot int, entries binary").repartition("t", "slot").sortWithinPartitions("t", "slot")
-    return durable(dealt.mapInArrow(lean(_groups(all_pairs)), "key long, set_key long, n long").distinct(), "similar-met")
+    return durable(dealt.mapInArrow(lean(_groups(all_pairs)), "key long, set_key long, n long, other long").distinct(), "similar-met")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -317,12 +337,88 @@ def _members(docs: DataFrame, some: DataFrame, words: int) -> DataFrame:
     return durable(texts.mapInArrow(lean(_sets(words)), "set_key long, grams array<long>").dropDuplicates(["set_key"]), "similar-sets")
 
 
-def _across(met: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, chunk_grams: int) -> DataFrame:
-    """Links between sets of a group (key) that links do not connect."""
-    rooted = durable(met.select("key", "set_key").join(_roots(links), "set_key", "left").withColumn("root", F.coalesce("root", "set_key")).join(sets.select("set_key", F.size("grams").alias("size")), "set_key"), "similar-rooted")
-    several = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.ceil(F.sum("size") / chunk_grams).cast("int").alias("chunks")).where("least < most")
-    several = durable(several.select("key", "chunks"), "similar-several")
-    each = rooted.join(sent(several), "key").withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int"))
+def _spread(slots: int):
+    """Rows (set_key, root, grams): for each part of the shingles the entries, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, flat = (x.to_numpy() for x in (b.column("grams").offsets, b.column("grams").values))
+            size, keys, roots = np.diff(ends), b.column("set_key").to_numpy(), b.column("root").to_numpy()
+            for at in range(int(ends[0]), int(ends[-1]), DEALT_GRAMS):
+                grams = flat[at : min(at + DEALT_GRAMS, int(ends[-1]))].view(np.uint64)
+                own = np.searchsorted(ends, np.arange(at, at + len(grams)), side="right") - 1
+                slot = (grams % np.uint64(slots)).astype(np.int32)
+                order = np.argsort(slot, kind="stable")
+                entries = np.empty(len(grams), _GRAM)
+                entries["gram"], entries["root"], entries["set_key"] = grams[order], roots[own[order]], keys[own[order]]
+                slot, first = np.unique(slot[order], return_index=True)
+                bounds = np.append(first, len(grams)).astype(np.int32) * np.int32(_GRAM.itemsize)
+                packed = pa.Array.from_buffers(pa.binary(), len(slot), [None, pa.py_buffer(bounds), pa.py_buffer(entries.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), packed], names=["slot", "entries"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, entries) sorted by slot: for each set its shingles of the part, and those that sets of another root have, too."""
+    now, held = None, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            entries = np.frombuffer(b"".join(held), _GRAM)
+            held.clear()
+            entries = entries[np.lexsort((entries["root"], entries["gram"]))]
+            first = np.flatnonzero(np.concatenate(([True], entries["gram"][1:] != entries["gram"][:-1])))
+            n = np.diff(np.append(first, len(entries)))
+            both = np.repeat(entries["root"][first] != entries["root"][first + n - 1], n)
+            keys, own = np.unique(entries["set_key"], return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(own[both], minlength=len(keys))), pa.array(np.bincount(own))], names=["set_key", "shared", "size"])
+
+    for b in batches:
+        slots, packed = b.column("slot").to_pylist(), b.column("entries")
+        for i in range(b.num_rows):
+            if slots[i] != now:
+                yield from flush()
+                now = slots[i]
+            held.append(packed[i].as_py())
+    yield from flush()
+
+
+def _possible(sets: DataFrame, roots: DataFrame, similarity: float, rounds: int = ROUNDS) -> DataFrame:
+    """The sets (set_key) that may be similar to one of another root: sets of other roots have enough of their shingles.
+
+    Two sets are similar only if they share at least `similarity` of either's shingles, all of which are then
+    in sets of both roots; the rest cannot have a link. Once these are dropped, others may have too few.
+    """
+    rooted = sets.join(sent(roots), "set_key", "left").select("set_key", F.coalesce("root", "set_key").alias("root"), "grams")
+    slots = max(GRAM_SLOTS, (sets.agg(F.sum(F.size("grams"))).first()[0] or 0) // SLOT_GRAMS)
+    left = None
+    for _ in range(rounds):
+        some = rooted if left is None else rooted.join(sent(left), "set_key", "left_semi")
+        dealt = some.mapInArrow(lean(_spread(slots)), "slot int, entries binary").repartition("slot").sortWithinPartitions("slot")
+        counts = dealt.mapInArrow(lean(_shared), "set_key long, shared long, size long").groupBy("set_key").agg(F.sum("shared").alias("shared"), F.sum("size").alias("size"))
+        left = durable(counts.where(F.col("shared") / F.col("size") >= similarity).select("set_key"), "similar-possible")
+    return left
+
+
+def _united(sets: DataFrame) -> DataFrame:
+    """key, set_key: the groups in which sets (set_key, root, print) meet; those that share a set, or a root, are one."""
+    met = groups(sets.select(F.col("root").alias("set_key"), "print"))
+    keys = components(met.select(F.col("set_key").alias("u"), F.col("other").alias("v")))
+    keys = keys.select(F.col("u").alias("root"), F.col("v").alias("key"))
+    return durable(sets.select("set_key", "root").join(keys, "root", "left").select(F.coalesce("key", "root").alias("key"), "set_key"), "similar-united")
+
+
+def _across(met: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, chunk_grams: int, roots: DataFrame | None = None) -> DataFrame:
+    """Links between sets of a group (key) that links do not connect (their components are roots, where given)."""
+    roots = _roots(links) if roots is None else roots
+    rooted = durable(met.select("key", "set_key").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")).join(sets.select("set_key", F.size("grams").alias("size")), "set_key"), "similar-rooted")
+    several = durable(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("size").alias("grams")).where("least < most").select("key", "grams"), "similar-several")
+    # Twice as many pairs of chunks as tasks in all: of them a group gets its share of all shingles, and a set is in as many as the group has chunks.
+    tasks, total = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), several.agg(F.sum("grams")).first()[0] or 1
+    fair = F.least(F.ceil(F.sqrt(F.col("grams") * (4 * tasks / total))), F.ceil(F.col("grams") / FINE_GRAMS))
+    several = several.select("key", F.greatest(F.ceil(F.col("grams") / chunk_grams), fair).cast("int").alias("chunks"))
+    each = rooted.join(F.broadcast(several) if several.count() <= BROADCAST_KEYS else several, "key").withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int"))
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     each = each.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "set_key", "root")
     dealt = durable(each, "similar-dealt").join(sets, "set_key").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -340,14 +436,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     distinct = durable(rows.groupBy("set_key").agg(F.min(row).alias("least"), F.first("print").alias("print")), "similar-distinct")
     met = groups(distinct)
-    degree = durable(met.groupBy("set_key").agg(F.sum("n").alias("degree")), "similar-degrees")
-    ranked = durable(met.join(degree, "set_key"), "similar-ranked")
-    leaders = durable(ranked.groupBy("key").agg(F.max(F.struct("degree", "set_key")).alias("first")).select("key", F.col("first.set_key").alias("v")), "similar-leaders")
-    largest = durable(met.groupBy("set_key").agg(F.max(F.struct("n", "key")).alias("most")).select(F.col("set_key").alias("u"), F.col("most.key").alias("key")), "similar-largest")
-    pairs = durable(largest.join(leaders, "key").where("u <> v").select("u", "v"), "similar-pairs")
-    sets = _members(docs, distinct.select("set_key", "least").join(degree, "set_key", "left_semi"), words)
-    links = _verified(pairs, sets, similarity)
-    links = links.unionAll(_across(met, links, sets, similarity, chunk_grams))
+    largest = met.groupBy("set_key").agg(F.max(F.struct("n", "key", "other")).alias("most")).select(F.col("set_key").alias("u"), F.col("most.other").alias("v"))
+    largest = durable(largest, "similar-largest")
+    sets = _members(docs, distinct.select("set_key", "least").join(largest.select(F.col("u").alias("set_key")), "set_key", "left_semi"), words)
+    links = _verified(largest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, similarity)
+    roots = durable(_roots(links), "similar-roots")
+    possible = _possible(sets, roots, similarity)
+    left = distinct.select("set_key", "print").join(sent(possible), "set_key", "left_semi").join(sent(roots), "set_key", "left")
+    left = durable(left.select("set_key", F.coalesce("root", "set_key").alias("root"), "print"), "similar-left")
+    links = links.unionAll(_across(_united(left), links, sets, similarity, chunk_grams, roots))
     rooted = distinct.select("set_key", "least").join(_roots(links), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     rooted = durable(rooted, "similar-components")
     least = durable(rooted.groupBy("root").agg(F.min("least").alias("first")), "similar-roots")

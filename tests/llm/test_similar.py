@@ -134,3 +134,55 @@ def test_sets_meet_by_simhash(spark):
             got.setdefault((r.key, r.n), set()).add(r.set_key)
         assert all(n == len(g) for (_, n), g in got.items())
         assert {frozenset(g) for g in got.values()} == want and len(got) == len(want)
+
+
+def test_each_set_is_in_one_group_of_what_is_left(spark, monkeypatch):
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(120):  # one large group of near copies, many of which are not similar to each other
+        words = list(base)
+        for at in r.sample(range(150), r.randint(1, 7)):
+            words[at] = f"x{i}_{at}" if r.random() < 0.5 else f"y{at}"
+        rows.append((i, " ".join(words)))
+    least = {i: i for i, _ in rows}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, j in pairs(rows):
+        a, b = sorted((find(i), find(j)))
+        least[b] = a
+    seen, across = [], similar._across
+
+    def watched(met, *more):
+        seen.append([tuple(x) for x in met.select("key", "set_key").collect()])
+        return across(met, *more)
+
+    monkeypatch.setattr(similar, "_across", watched)
+    got = {x.doc_id: x.component_id for x in similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: find(i) for i in least} and 1 < len(set(got.values())) < len(rows)
+    assert len(seen) == 1 and len(seen[0]) == len({k for _, k in seen[0]}) > 20  # else as often as buckets that it shares
+
+
+def test_sets_that_may_have_links(spark):
+    r = random.Random(3)
+    sets = {i: sorted(r.sample(range(i % 5 * 40, i % 5 * 40 + 60), r.randint(5, 50))) for i in range(1, 60)}
+    sets |= {100: list(range(1000, 1040)), 101: list(range(1000, 1040)) + [5000], 102: [1 << 62, -1, 3000], 103: list(range(2000, 2010)), 104: list(range(2000, 2030))}
+    roots = {i: i % 10 + 1 for i in sets if i < 100 and i % 3 == 0}
+    root = {i: roots.get(i, i) for i in sets}
+    want, steps = set(sets), []
+    for _ in range(similar.ROUNDS):
+        held = {}
+        for i in want:
+            for g in sets[i]:
+                held.setdefault(g, set()).add(root[i])
+        want = {i for i in want if sum(len(held[g]) > 1 for g in sets[i]) / len(sets[i]) >= 0.8}
+        steps.append(len(want))
+    grams = spark.createDataFrame(list(sets.items()), "set_key long, grams array<long>").repartition(3)
+    got = similar._possible(grams, spark.createDataFrame(list(roots.items()), "set_key long, root long"), 0.8)
+    assert sorted(x.set_key for x in got.collect()) == sorted(want) and {100, 101} <= want and 102 not in want and len(sets) > steps[0] > steps[1]
+    similar_ = {x for i, j in combinations(sets, 2) if root[i] != root[j] and len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}) for x in (i, j)}
+    assert {100, 101} <= similar_ <= want and {103, 104}.isdisjoint(want)  # 104 goes first, then 103
